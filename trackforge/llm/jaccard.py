@@ -202,13 +202,19 @@ def overlaps(k: int):
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        last: tuple = (None, None)
+        held: dict[int, np.ndarray] = {}
+
+        def of(fp, text):
+            if fp not in held:
+                if len(held) >= 2000:
+                    held.clear()
+                held[fp] = shingles(unpack(text), k)
+            return held[fp]
+
         for batch in batches:
             out = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-                if last[0] != a:
-                    last = (a, shingles(unpack(x), k))
-                out.append(len(np.intersect1d(last[1], shingles(unpack(y), k), assume_unique=True)))
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
+                out.append(len(np.intersect1d(of(a, x), of(b, y), assume_unique=True)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(out, pa.int64())], ["a", "b", "na", "nb", "common"])
 
     return run
@@ -221,52 +227,77 @@ def pack_texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([pack(x) for x in _texts(batch)], pa.binary())], ["doc_id", "packed"])
 
 
-def across(num: int, den: int):
-    """applyInArrow over one list (or a pair of parts of one): pairs across components that no bound rules out."""
+def across(num: int, den: int, best: bool):
+    """applyInArrow over some lists (or pairs of parts of lists): pairs across components that no bound rules out.
+
+    best: for each set and each component that is larger in the list, only the pair whose sketches are closest.
+    """
+    far = (den - num) / den
 
     def run(t: pa.Table) -> pa.Table:
         col = lambda c: t.column(c).to_numpy()
-        order = np.lexsort((col("pos"), col("n")))
-        fp, n, pos, comp, head, common, head_n, side = (col(c)[order] for c in ("fp", "n", "pos", "comp", "head", "common", "head_n", "side"))
-        bits = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()])[order].view(np.uint64)
-        dist = np.where(common >= 0, 1 - common / np.maximum(n + head_n - common, 1), np.nan)
-        far = (den - num) / den
-        block = [(i, min(i + BLOCK, len(fp))) for i in range(0, len(fp), BLOCK)]
-        least = [pos[a:b].min() for a, b in block]
-        alone = [comp[a] if (comp[a:b] == comp[a]).all() else None for a, b in block]
-        pairs: list[np.ndarray] = []
-        for i in range(1, len(fp)):
-            for (a, b), p, c in zip(block, least, alone):
-                if a >= i:
-                    break
-                b = min(b, i)
-                # sizes, position and component rule out whole blocks
-                if den * n[b - 1] < num * n[i] or c == comp[i]:
-                    continue
-                need = -(-num * (n[a] + n[i]) // (num + den))
-                if 1 + min(n[i] - pos[i] - 1, n[b - 1] - p - 1) < need:
-                    continue
-                m = n[a:b]
-                need = -(-num * (m + n[i]) // (num + den))
-                ok = (comp[a:b] != comp[i]) & (den * m >= num * n[i]) & (1 + np.minimum(n[i] - pos[i] - 1, m - pos[a:b] - 1) >= need)
-                ok &= (side[a:b] != side[i]) | (side[i] == 0)
-                # the distances to a common head bound the distance
-                ok &= ~((head[a:b] == head[i]) & (np.abs(dist[a:b] - dist[i]) > far + 1e-9))
-                j = np.flatnonzero(ok)
-                if len(j):
-                    apart = np.bitwise_count(bits[a:b][j] ^ bits[i]).sum(axis=1)
-                    j = j[apart <= m[j] + n[i] - 2 * need[j]]
-                if len(j):
-                    x, y = fp[a:b][j], np.full(len(j), fp[i])
-                    pairs.append(np.stack([x, y, m[j], np.full(len(j), n[i])]))
-        got = np.concatenate(pairs, axis=1) if pairs else np.empty((4, 0), np.int64)
-        swap = got[0] > got[1]
-        got[:, swap] = got[:, swap][[1, 0, 3, 2]]
-        return pa.table([pa.array(x.astype(np.int64)) for x in got], names=["a", "b", "na", "nb"])
+        order = np.lexsort((col("pos"), col("n"), col("hi"), col("lo"), col("shingle")))
+        v = {c: col(c)[order] for c in ("shingle", "lo", "hi", "fp", "n", "pos", "comp", "head", "common", "head_n", "side")}
+        v["bits"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(order), -1)[order]
+        v["dist"] = np.where(v["common"] >= 0, 1 - v["common"] / np.maximum(v["n"] + v["head_n"] - v["common"], 1), np.nan)
+        new = np.ones(len(order), bool)
+        new[1:] = (v["shingle"][1:] != v["shingle"][:-1]) | (v["lo"][1:] != v["lo"][:-1]) | (v["hi"][1:] != v["hi"][:-1])
+        start = np.flatnonzero(new)
+        length = np.diff([*start, len(order)])
+        found = []
+        # short lists: each set against the one d places before it, all lists at once
+        place = np.arange(len(order)) - np.repeat(start, length)
+        short = np.repeat(length, length) <= BLOCK
+        for d in range(1, BLOCK):
+            i = np.flatnonzero(short & (place >= d))
+            if not len(i):
+                break
+            found.append(_possible(v, i - d, i, num, den, far))
+        # long lists: block by block
+        for a, m in zip(start[length > BLOCK], length[length > BLOCK]):
+            blocks = [slice(x, min(x + BLOCK, a + m)) for x in range(a, a + m, BLOCK)]
+            facts = [(v["n"][s][0], v["n"][s][-1], v["pos"][s].min(), v["comp"][s][0] if (v["comp"][s] == v["comp"][s][0]).all() else None) for s in blocks]
+            for k, (s, (small, large, least, comp)) in enumerate(zip(blocks, facts)):
+                for s2, (small2, large2, least2, comp2) in zip(blocks[k:], facts[k:]):
+                    # sizes, positions and components rule out whole blocks
+                    need = -(-num * (small + small2) // (num + den))
+                    if den * large < num * small2 or (comp is not None and comp == comp2) or min(large - least, large2 - least2) < need:
+                        continue
+                    j, i = np.meshgrid(np.arange(s.start, s.stop), np.arange(s2.start, s2.stop))
+                    j, i = j.ravel(), i.ravel()
+                    found.append(_possible(v, j[j < i], i[j < i], num, den, far))
+        j, i, apart = (np.concatenate(x) for x in zip(*found)) if found else np.empty((3, 0), np.int64)
+        if best and len(j):
+            _, where, size = np.unique(np.stack([np.repeat(start, length), v["comp"]]), axis=1, return_inverse=True, return_counts=True)
+            size = size[where.ravel()]
+            swap = (size[j] > size[i]) | ((size[j] == size[i]) & (v["comp"][j] < v["comp"][i]))
+            own, other = np.where(swap, i, j), np.where(swap, j, i)
+            o = np.lexsort((apart, v["comp"][other], own))
+            first = np.ones(len(o), bool)
+            first[1:] = (own[o][1:] != own[o][:-1]) | (v["comp"][other[o]][1:] != v["comp"][other[o]][:-1])
+            j, i = j[o[first]], i[o[first]]
+        swap = v["fp"][j] > v["fp"][i]
+        a, b = np.where(swap, i, j), np.where(swap, j, i)
+        out = np.unique(np.stack([v["fp"][a], v["fp"][b], v["n"][a], v["n"][b]]), axis=1)
+        return pa.table([pa.array(x) for x in out], names=["a", "b", "na", "nb"])
 
     return run
 
 
+def _possible(v, j, i, num, den, far):
+    """The pairs j, i (j no larger than i) that are of two components and that no bound rules out, and how far their sketches are apart."""
+    nj, ni = v["n"][j], v["n"][i]
+    need = -(-num * (nj + ni) // (num + den))
+    ok = (v["comp"][j] != v["comp"][i]) & (den * nj >= num * ni) & ((v["side"][j] != v["side"][i]) | (v["side"][i] == 0))
+    ok &= np.minimum(ni - v["pos"][i], nj - v["pos"][j]) >= need
+    # a head has been compared with its list; two sets are at least as far apart as their distances to one head differ
+    ok &= (v["fp"][j] != v["head"][i]) & (v["fp"][i] != v["head"][j])
+    ok &= ~((v["head"][j] == v["head"][i]) & (np.abs(v["dist"][j] - v["dist"][i]) > far + 1e-9))
+    j, i, most = j[ok], i[ok], (nj + ni - 2 * need)[ok]
+    apart = np.bitwise_count(v["bits"][j] ^ v["bits"][i]).sum(axis=1, dtype=np.int64)
+    return j[apart <= most], i[apart <= most], apart[apart <= most]
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, frequent: int = 1 << 18, per_list: int = 1024, postings_per_part: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -311,23 +342,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     linked = f"{den} * common >= {num} * (na + nb - common)"
     checked = verified(first)
-    groups = components(checked.where(linked).select("a", "b"))
-    groups = materialise(groups, "groups")
-
-    # what is left: lists that hold several components
-    known = listed.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
-    known = known.withColumns({"a": F.least("fp", "head"), "b": F.greatest("fp", "head")}).join(checked.select("a", "b", "common"), ["a", "b"], "left").drop("a", "b")
-    known = materialise(known.withColumn("common", F.when(F.col("fp") == F.col("head"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1)))), "known")
-    mixed = known.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("c2"), F.max("salt").alias("ways")).where("c <> c2")
-    rest = known.join(materialise(mixed.select("shingle", "ways"), "mixed"), "shingle")
-    rest = rest.join(sets.where("sketch is not null").groupBy("fp").agg(F.first("sketch").alias("sketch")), "fp")
-    # parts of one list meet pairwise: part s goes to the tasks (s, t) and (t, s) of every t; side tells them apart
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways"))))
-    rest = rest.withColumns({"lo": F.least("salt", "other"), "hi": F.greatest("salt", "other")})
-    rest = rest.withColumn("side", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("salt") == F.col("lo"), 1).otherwise(2).cast("long")).drop("salt", "other", "ways")
-    second = rest.groupBy("shingle", "lo", "hi").applyInArrow(across(num, den), "a long, b long, na long, nb long")
-    again = verified(materialise(second.distinct(), "pairs"))
-    links = checked.where(linked).select("a", "b").union(again.where(linked).select("a", "b"))
+    links = checked.where(linked).select("a", "b")
+    sketches = sets.where("sketch is not null").groupBy("fp").agg(F.first("sketch").alias("sketch"))
+    # what is left: lists that hold several components. First the likeliest pair of each set and component, then all
+    for best in (True, False):
+        groups = components(links)
+        known = listed.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+        known = materialise(known, "known")
+        mixed = known.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("c2"), F.max("salt").alias("ways")).where("c <> c2")
+        rest = known.join(materialise(mixed.select("shingle", "ways"), "mixed"), "shingle")
+        rest = rest.withColumns({"a": F.least("fp", "head"), "b": F.greatest("fp", "head")}).join(checked.select("a", "b", "common"), ["a", "b"], "left").drop("a", "b")
+        rest = rest.withColumn("common", F.when(F.col("fp") == F.col("head"), F.col("n")).otherwise(F.coalesce("common", F.lit(-1))))
+        rest = materialise(rest.join(sketches, "fp"), "rest")
+        # parts of one list meet pairwise: part s goes to the tasks (s, t) and (t, s) of every t; side tells them apart
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways"))))
+        rest = rest.withColumns({"lo": F.least("salt", "other"), "hi": F.greatest("salt", "other")})
+        rest = rest.withColumn("side", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("salt") == F.col("lo"), 1).otherwise(2).cast("long")).drop("salt", "other", "ways")
+        some = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rest.count() // 200_000))
+        pairs = rest.withColumn("part", F.pmod(F.xxhash64("shingle", "lo", "hi"), F.lit(some))).groupBy("part").applyInArrow(across(num, den, best), "a long, b long, na long, nb long")
+        links = links.union(verified(materialise(pairs.distinct(), "pairs")).where(linked).select("a", "b"))
     final = components(links)
 
     # the least document of each component, then of each row
