@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import struct
@@ -10,6 +11,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,38 +132,53 @@ class WordIds:
     is bounded: once it is full it stays as it is, unless most of a block's words are missing from it.
     """
 
-    full = 800_000
+    full = 700_000
 
     def __init__(self, encode):
         self.encode = encode  # list of words as bytes -> list of ids as bytes
         self.known: dict[bytes, bytes] = {}
 
-    def block(self, texts: list[bytes]):
-        lists = [t.split() for t in texts]
-        words = set().union(*lists)
-        fresh = list(words.difference(self.known))
-        if len(self.known) > self.full and len(fresh) > len(words) // 2:
-            self.known.clear()
-            fresh = list(words)
-        self.known.update(zip(fresh, self.encode(fresh)))
-        get = self.known.__getitem__
-        for x in lists:
-            yield np.frombuffer(b"".join(map(get, x)), np.uint16)
-        if len(self.known) > self.full:
+    def block(self, texts: list[str]):
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if len(known) > self.full and len(fresh) > len(words) // 2:
+            known.clear()
+            fresh = words
+        known.update(zip(fresh, self.encode(fresh)))
+        parts = [known[w] for w in words]
+        if len(known) > self.full:
             for w in fresh:
-                del self.known[w]
-
-    def texts(self, texts, block: int = 4 << 20):
-        """The ids of each text in turn; None counts as empty. block: bytes of text that are taken at once."""
-        held: list[bytes] = []
+                del known[w]
+        pool = np.frombuffer(b"".join(parts), np.uint16)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        place = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        ids = pool[np.repeat(place[at] - end + n, n) + np.arange(n.sum())]
+        bounds = np.append(0, end)[lists.offsets.to_numpy()]
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[x:y]
+
+    def texts(self, texts, block: int = 8 << 20):
+        """The ids of each text in turn; None counts as empty. block: characters of text that are taken at once."""
+        held: list[str] = []
         size = 0
-        for t in texts:
-            held.append(t.encode() if t else b"")
-            size += len(held[-1])
-            if size >= block:
+        gc.disable()  # the many small objects here hold no cycles
+        try:
+            for t in texts:
+                held.append(t or "")
+                size += len(held[-1])
+                if size >= block:
+                    yield from self.block(held)
+                    held, size = [], 0
+            if held:
                 yield from self.block(held)
-                held, size = [], 0
-        yield from self.block(held)
+        finally:
+            gc.enable()
 
 
 _CACHES: dict[str, WordIds] = {}
@@ -187,16 +205,21 @@ def word_bpe(path: str) -> WordIds:
         t = Tokenizer.from_file(path)
         model, letters = t.model, _byte_letters()
         packed = lambda ids: struct.pack(f"<{len(ids)}H", *ids)
+        stems: dict[str, bytes] = {}  # words without case and final mark
         mark = {m: packed([x.id for x in model.tokenize(m)]) if m else b"" for m in ("", ".", ",")}
 
         def one(word: bytes) -> bytes:
+            if not word:
+                return word
             w = word.decode()
             if not (m := _PLAIN.fullmatch(w)):
                 return packed(t.encode(w, add_special_tokens=False).ids)
             x = m[1].lower()
-            if not x.isascii():
-                x = "".join(letters[b] for b in x.encode())
-            return packed([y.id for y in model.tokenize(x)]) + mark[m[2]]
+            if (ids := stems.get(x)) is None:
+                ids = packed([y.id for y in model.tokenize(x if x.isascii() else "".join(letters[b] for b in x.encode()))])
+                if len(stems) < WordIds.full // 2:
+                    stems[x] = ids
+            return ids + mark[m[2]]
 
         _CACHES[path] = WordIds(lambda words: map(one, words))
     return _CACHES[path]

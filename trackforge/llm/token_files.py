@@ -76,7 +76,7 @@ def unpack_file(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _token_blobs(path: str, end_id: int):
     def run(batches):
-        words, pack = word_bpe(path), zstandard.ZstdCompressor(level=3).compress
+        words, pack = word_bpe(path), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             blobs, n = [], []
             for ids in words.texts(batch.column("text").to_pylist()):
