@@ -13,7 +13,7 @@ iteration carries nothing but these few numbers.
 
 Null and empty texts: no words; they have the posterior of a text without features and take no part in the totals.
 Repeated rows and copies: the same rate. Labels: of rows with one doc_id the least count; null labels are left out.
-Without any labels there is one domain and all rates are its target weight. Empty table: no rows. Other columns are
+Rows of null doc_id share one rate, the greatest of theirs. Without any labels there is one domain and all rates are its target weight. Empty table: no rows. Other columns are
 kept by `mixed` and ignored by the query.
 """
 
@@ -174,9 +174,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict = TARGETS, near: flo
     """
     r = F.col("rate")
     whole = F.when(F.abs(r - F.round(r)) <= near, F.round(r)).otherwise(F.floor(r + F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0))
-    often = mix_rates(docs, labels, targets, **options).groupBy("doc_id").agg(F.max(whole).cast("int").alias("copies")).where("copies > 0")
-    out = docs.join(materialise(often, "rates"), "doc_id")
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    often = mix_rates(docs, labels, targets, **options).groupBy("doc_id").agg(F.max(whole).cast("int").alias("_copies")).where("_copies > 0")
+    often = materialise(often.withColumnRenamed("doc_id", "_taken"), "rates")
+    out = docs.join(often, docs["doc_id"].eqNullSafe(often["_taken"]))
+    return out.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def op8_soft_mixing(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ and joined globally; the first one (least doc_id, then place) of equal spans sta
 than the first covers is removed.
 
 Only spans that occur more than once come back from the global step, by hash: hot spans have been counted in each
-task before. Null and empty texts: no sentences, text as it was. Copies of a text: all but the first lose the
+task before. Null and empty texts: no sentences, text as it was. Rows of null doc_id: their text stays and
+counts for no span. Copies of a text: all but the first lose the
 sentences that spans cover. Rows with one doc_id count as places of one document. Empty table: no rows. Other columns
 are kept by `without_repeats` and ignored by the query.
 """
@@ -80,11 +81,11 @@ def _spans(least_sentences: int, least_words: int, longest: int):
         for batch in batches:
             docs, hashes, places = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if not text:
+                if not text or doc is None:
                     continue
                 _, words, _, _, first = sentences(text, longest)
                 h, i, _ = spans(words, first, least_sentences, least_words)
-                docs.append(np.full(len(h), -1 if doc is None else doc, np.int64))
+                docs.append(np.full(len(h), doc, np.int64))
                 hashes.append(h.view(np.int64))
                 places.append(i.astype(np.int32))
             if docs:
@@ -99,7 +100,7 @@ def _cut(least_sentences: int, least_words: int, longest: int, full: bool):
     def run(batches):
         for batch in batches:
             texts, counts, gone = [], [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist()):
                 if not text:
                     texts.append(text)
                     counts.append(0)
@@ -129,7 +130,7 @@ def _cut(least_sentences: int, least_words: int, longest: int, full: bool):
             if full:
                 at = batch.schema.get_field_index("text")
                 kept = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                yield kept.select([c for c in kept.schema.names if c != "places"])
+                yield kept.select([c for c in kept.schema.names if c != "_places"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
@@ -143,7 +144,7 @@ def _places(docs: DataFrame, least_sentences: int, least_words: int, longest: in
     first = every.groupBy("span").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", F.col("first.doc_id").alias("d"), F.col("first.place").alias("p"))
     first = materialise(first, "repeated")
     again = every.join(first, "span").where("doc_id <> d or place <> p").select("doc_id", "place")
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("_places"))
 
 
 def without_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 18, longest: int = 16) -> DataFrame:

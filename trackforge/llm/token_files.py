@@ -11,7 +11,7 @@ four lengths, their running sums give the places, and each rank is gathered from
 The ranks' table is a file of its own (ids by rank, u32). Files are written to a temporary name and renamed, so a
 task that runs twice leaves one whole file.
 
-Null and empty texts: the end id alone. Texts of any length are encoded whole. Repeated rows: each is written.
+Null and empty texts: the end id alone. Texts of any length are encoded whole. Repeated rows: each is written. Null doc_id: before all others.
 Ties of doc_id: in order of their content. Empty table: no files, no rows. Other columns are ignored.
 """
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import _written, materialise, shared_dir, table, word_bpe
 
 MAGIC = b"TFRANK01"
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 #: For each control byte: the lengths of its four ranks.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 _MASK = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -132,7 +134,7 @@ def _read(id_of: np.ndarray):
                 ids = id_of[ranks].astype("<u4")
                 ends = np.cumsum(counts, dtype=np.int64)
                 crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(before + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NO_ID), pa.array(before + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -144,7 +146,7 @@ def write_files(docs: DataFrame, path: str, end_id: int, folder: str, file_ids:
     that it can be written to and read from any store that Spark reaches and commits of tasks are atomic.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     ways = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # bounds of ranges of doc_id, from that column alone
     cuts = docs.approxQuantile("doc_id", [i / ways for i in range(1, ways)], 0.1 / ways) if ways > 1 else []
