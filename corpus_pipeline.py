@@ -25,9 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least doc_id stays; of rows that are equal in id and text one."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(materialise(keep, "keep"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near duplicates the document of least doc_id stays; of rows that are equal in id and text one.
+
+    Rows of null doc_id stay."""
+    keep = jaccard_components(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    keep = materialise(keep, "keep")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
