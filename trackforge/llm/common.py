@@ -134,9 +134,10 @@ class WordIds:
 
     full = 700_000
 
-    def __init__(self, encode):
+    def __init__(self, encode, full: int | None = None):
         self.encode = encode  # list of words as bytes -> list of ids as bytes
         self.known: dict[bytes, bytes] = {}
+        self.full = full or self.full
 
     def block(self, texts: list[str]):
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
@@ -153,12 +154,17 @@ class WordIds:
             for w in fresh:
                 del known[w]
         pool = np.frombuffer(b"".join(parts), np.uint16)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
-        place = np.cumsum(size) - size
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 2
+        place = (np.cumsum(size) - size).astype(np.int32)
         at = coded.indices.to_numpy()
         n = size[at]
-        end = np.cumsum(n)
-        ids = pool[np.repeat(place[at] - end + n, n) + np.arange(n.sum())]
+        end = np.cumsum(n, dtype=np.int64)
+        if len(end) and end[-1] >= 2**31:
+            place = place.astype(np.int64)
+        to = np.repeat((place[at] - end + n).astype(place.dtype), n)
+        to += np.arange(len(to), dtype=place.dtype)
+        ids = pool[to]
+        del to
         bounds = np.append(0, end)[lists.offsets.to_numpy()]
         for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             yield ids[x:y]
@@ -182,6 +188,17 @@ class WordIds:
 
 
 _CACHES: dict[str, WordIds] = {}
+
+
+def _cached(path: str, make) -> WordIds:
+    """The vocabulary's table; a worker that goes on to another vocabulary drops the one before."""
+    if path not in _CACHES:
+        _CACHES.clear()
+        gc.collect()
+        _CACHES[path] = make()
+    return _CACHES[path]
+
+
 #: Letters that NFC leaves alone and whose lower case is one letter of the same kind, then one mark at most.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
 
@@ -198,7 +215,8 @@ def word_bpe(path: str) -> WordIds:
 
     Plain words go to the vocabulary's merges directly; all others through the whole tokenizer.
     """
-    if path not in _CACHES:
+
+    def make() -> WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -221,18 +239,21 @@ def word_bpe(path: str) -> WordIds:
                     stems[x] = ids
             return ids + mark[m[2]]
 
-        _CACHES[path] = WordIds(lambda words: map(one, words))
-    return _CACHES[path]
+        return WordIds(lambda words: map(one, words))
+
+    return _cached(path, make)
 
 
 def word_pieces(path: str) -> WordIds:
     """Ids of a sentencepiece vocabulary for each word by itself."""
-    if path not in _CACHES:
+
+    def make() -> WordIds:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        _CACHES[path] = WordIds(lambda words: (struct.pack(f"<{len(x)}H", *x) for x in sp.encode([w.decode() for w in words], num_threads=1)))
-    return _CACHES[path]
+        return WordIds(lambda words: (struct.pack(f"<{len(x)}H", *x) for x in sp.encode([w.decode() for w in words], num_threads=1)), 300_000)
+
+    return _cached(path, make)
 
 
 # --- connected components ----------------------------------------------------------------------
