@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -195,6 +197,9 @@ def _cached(path: str, make) -> WordIds:
     if path not in _CACHES:
         _CACHES.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc gives freed memory back on request
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
         _CACHES[path] = make()
     return _CACHES[path]
 
@@ -235,7 +240,7 @@ def word_bpe(path: str) -> WordIds:
             x = m[1].lower()
             if (ids := stems.get(x)) is None:
                 ids = packed([y.id for y in model.tokenize(x if x.isascii() else "".join(letters[b] for b in x.encode()))])
-                if len(stems) < WordIds.full // 2:
+                if len(stems) < WordIds.full // 4:
                     stems[x] = ids
             return ids + mark[m[2]]
 

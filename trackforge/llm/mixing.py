@@ -107,8 +107,10 @@ def rates(p: np.ndarray, steps: list[np.ndarray], pace: float, ridge: float) ->
 def _posteriors(model: Softmax):
     def run(batches):
         for batch in batches:
-            x, n = model.features(batch.column("text").to_pylist())
-            p = model.posterior(x)
+            texts = batch.column("text").to_pylist()
+            blocks = (model.features(texts[i : i + 1000]) for i in range(0, max(len(texts), 1), 1000))
+            parts = [(model.posterior(x), n) for x, n in blocks]
+            p, n = (np.concatenate(y) for y in zip(*parts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
 
     return run
