@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 20_000
+SMALL = 512
 
 
 def same_strand(a: Column, b: Column) -> Column:
