@@ -141,8 +141,8 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.full = full or self.full
 
-    def block(self, texts: list[str]):
-        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    def block(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         known = self.known
@@ -171,20 +171,18 @@ class WordIds:
         for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             yield ids[x:y]
 
-    def texts(self, texts, block: int = 8 << 20):
-        """The ids of each text in turn; None counts as empty. block: characters of text that are taken at once."""
-        held: list[str] = []
-        size = 0
+    def texts(self, texts: pa.Array | list, block: int = 8 << 20):
+        """The ids of each text in turn; None counts as empty. block: bytes of text that are taken at once, a text's own at least."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         gc.disable()  # the many small objects here hold no cycles
         try:
-            for t in texts:
-                held.append(t or "")
-                size += len(held[-1])
-                if size >= block:
-                    yield from self.block(held)
-                    held, size = [], 0
-            if held:
-                yield from self.block(held)
+            at = 0
+            while at < len(column):
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + block, "right")))
+                yield from self.block(column.slice(at, to - at))
+                at = to
         finally:
             gc.enable()
 

@@ -36,7 +36,7 @@ def pieces(path: str, limit: int, end_id: int):
         words = word_bpe(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.texts(batch.column("text").to_pylist())):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.texts(batch.column("text"))):
                 ids = np.append(ids, end_id).astype("<u4")
                 for p, a in enumerate(range(0, len(ids), limit)):
                     part = ids[a : a + limit]

@@ -106,10 +106,9 @@ def _measure(path: str, bands: dict, text_too: bool):
     def run(batches):
         pieces = word_pieces(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            out = []
-            for text, ids in zip(texts, pieces.texts(texts)):
-                text = text or ""
+            texts, out = batch.column("text"), []
+            for text, ids in zip(texts, pieces.texts(texts)):  # one text at a time leaves Arrow
+                text = text.as_py() or ""
                 data = text.encode()
                 words = data.split()
                 n = len(words)

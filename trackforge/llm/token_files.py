@@ -81,7 +81,7 @@ def _token_blobs(path: str, end_id: int):
         words, pack = word_bpe(path), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             blobs, n = [], []
-            for ids in words.texts(batch.column("text").to_pylist()):
+            for ids in words.texts(batch.column("text")):
                 ids = np.append(ids, np.uint16(end_id)).astype("<u2")
                 blobs.append(pack(ids.tobytes()))
                 n.append(len(ids))
