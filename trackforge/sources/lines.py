@@ -210,6 +210,54 @@ def gff_lines(df: DataFrame, tags: list[str], version: int = 3, source: str = "t
     return df.select(F.concat_ws("\t", F.col("seqnames"), F.lit(source), kind, F.col("start").cast("string"), F.col("end").cast("string"), score, strand, phase, F.nullif(attrs, F.lit(""))).alias("value"))
 
 
+def bed15_lines(df: DataFrame, experiments: list[str]) -> DataFrame:
+    """BED15 lines: blocks, if there are none, are the feature itself; scores that are null are -10000."""
+    have = set(df.columns)
+    start, end = (F.col("start") - 1).cast("string"), F.col("end").cast("string")
+    scores = F.concat_ws(",", *[F.coalesce(F.col(e).cast("double"), F.lit(-10000.0)).cast("string") for e in experiments])
+    name = _str(F.col("name")) if "name" in have else F.lit(".")
+    score = F.coalesce(F.col("score").cast("string"), F.lit("0")) if "score" in have else F.lit("0")
+    strand = F.when(F.col("strand") == "*", ".").otherwise(F.col("strand")) if "strand" in have else F.lit(".")
+    width = (F.col("end") - F.col("start") + 1).cast("string")
+    ids = ",".join(map(str, range(len(experiments))))
+    return df.select(F.concat_ws("\t", F.col("seqnames"), start, end, name, score, strand, start, end, F.lit("0"), F.lit("1"), width, F.lit("0"), F.lit(str(len(experiments))), F.lit(ids), scores).alias("value"))
+
+
+def bedpe_lines(df: DataFrame) -> DataFrame:
+    """BEDPE lines of pairs(first, second, name, score), then other columns in their order."""
+    side = lambda m: [F.col(f"{m}.seqnames"), (F.col(f"{m}.start") - 1).cast("string"), F.col(f"{m}.end").cast("string")]
+    strand = lambda m: F.when(F.col(f"{m}.strand") == "*", ".").otherwise(F.col(f"{m}.strand"))
+    score = F.coalesce(F.col("score").cast("string"), F.lit("0")) if "score" in df.columns else F.lit("0")
+    more = [_str(F.col(c)) for c in df.columns if c not in ("first", "second", "name", "score")]
+    name = _str(F.col("name")) if "name" in df.columns else F.lit(".")
+    return df.select(F.concat_ws("\t", *side("first"), *side("second"), name, score, strand("first"), strand("second"), *more).alias("value"))
+
+
+def wig_lines(df: DataFrame, kind: str = "auto") -> DataFrame:
+    """seqnames, place, value: WIG lines of df(seqnames, start, end, score); in order of place within a sequence.
+
+    A sequence whose starts are evenly spaced is fixedStep, others are variableStep; kind may ask for one of the two.
+    Errors, raised as the lines are computed: overlaps, more than one span in a sequence, uneven fixed steps.
+    """
+    if kind not in ("auto", "fixedStep", "variableStep"):
+        raise ValueError(kind)
+    w = Window.partitionBy("seqnames").orderBy("start")
+    x = df.withColumns({"_step": F.col("start") - F.lag("start").over(w), "_clash": F.col("start") <= F.lag("end").over(w), "_span": F.col("end") - F.col("start") + 1})
+    of = x.groupBy("seqnames").agg(
+        F.min("start").alias("_first"), F.min("_span").alias("_least"), F.max("_span").alias("_most"), F.coalesce(F.min("_step"), F.lit(1)).alias("_by"), F.coalesce(F.min("_step") == F.max("_step"), F.lit(True)).alias("_even"), F.coalesce(F.max("_clash"), F.lit(False)).alias("_bad")
+    )
+    fault = F.when(F.col("_bad"), "features overlap").when(F.col("_least") != F.col("_most"), "features have several spans")
+    if kind == "fixedStep":
+        fault = fault.when(~F.col("_even"), "steps are uneven")
+    fixed = F.lit(False) if kind == "variableStep" else F.col("_even")
+    span = F.concat(F.lit(" span="), F.col("_least").cast("string"))
+    head = F.when(fixed, F.concat(F.lit("fixedStep chrom="), "seqnames", F.lit(" start="), F.col("_first").cast("string"), F.lit(" step="), F.col("_by").cast("string"), span)).otherwise(F.concat(F.lit("variableStep chrom="), "seqnames", span))
+    of = of.select("seqnames", fixed.alias("_fixed"), F.when(fault.isNotNull(), F.raise_error(F.concat("seqnames", F.lit(": "), fault))).otherwise(head).alias("_head"))
+    score = F.col("score").cast("string")
+    body = df.join(of, "seqnames").select("seqnames", F.col("start").cast("long").alias("place"), F.when(F.col("_fixed"), score).otherwise(F.concat_ws(" ", F.col("start").cast("string"), score)).alias("value"))
+    return of.select("seqnames", F.lit(-1).cast("long").alias("place"), F.col("_head").alias("value")).unionByName(body)
+
+
 def sam_lines(df: DataFrame) -> DataFrame:
     """SAM lines of alignments, with defaults for what is missing."""
     flag = F.when(F.col("strand") == "-", 16).otherwise(0).cast("string")
