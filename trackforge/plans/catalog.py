@@ -13,6 +13,7 @@ from ..operators import coverage as cov
 from ..operators import nest, summary
 from ..operators.lift import flip, lift_over
 from ..operators.overlap import clipped, overlap_join, overlap_semi
+from ..sources import hubs
 from ..sources import lines as L
 
 FEATURES_SQL = """
@@ -395,6 +396,44 @@ def _(s, d):
     return L.sam_lines(features(s, d).withColumn("cigar", F.concat(F.col("score").cast("string"), F.lit("M"))))
 
 
+_PAIR = """concat_ws(chr(9), a.seqnames, cast(a."start" - 1 as string), cast(a."end" as string), a.seqnames, cast(a."end" + 9 as string), cast(a."end" + 20 as string), 'p' || cast(grp as string), cast(score as string), case strand when '*' then '.' else strand end, '.', cast(line as string))"""
+
+
+@query("bedpe_write_lines", f"select {_PAIR} as value from f a")
+def _(s, d):
+    first = F.struct("seqnames", "start", "end", "strand")
+    second = F.struct("seqnames", (F.col("end") + 10).alias("start"), (F.col("end") + 20).alias("end"), F.lit("*").alias("strand"))
+    return L.bedpe_lines(features(s, d).select(first.alias("first"), second.alias("second"), F.concat(F.lit("p"), "grp").alias("name"), "score", "line"))
+
+
+@query("bed15_write", """select seqnames, "start", "end", cast(null as string) as name, cast(score as double) as a, cast(null as double) as b from f""")
+def _(s, d):
+    return L.bed15(L.bed15_lines(features(s, d).withColumns({"a": F.col("score").cast("double"), "b": F.lit(None).cast("double")}), ["a", "b"]), ["a", "b"])
+
+
+_PLACES = """, p as (select distinct seqnames, "start" from f), v as (select seqnames, "start", 'variableStep chrom=' || seqnames || ' span=1' as head from p)"""
+
+
+@query("wig_write_variable", _PLACES + """ select seqnames, cast(-1 as bigint) as place, any_value(head) as value from v group by 1 union all select seqnames, cast("start" as bigint), cast("start" as string) || ' ' || cast("start" % 7 as string) from v""")
+def _(s, d):
+    p = features(s, d).select("seqnames", "start").distinct()
+    return L.wig_lines(p.select("seqnames", "start", F.col("start").alias("end"), (F.col("start") % 7).alias("score")), "variableStep")
+
+
+@query("wig_write_fixed", """, n as (select 's' || cast(n_nationkey as string) as seqnames, n_nationkey as k from nation) select seqnames, cast(-1 as bigint) as place, 'fixedStep chrom=' || seqnames || ' start=' || cast(k + 1 as string) || ' step=10 span=5' as value from n union all select seqnames, cast(k + 1 + i * 10 as bigint), cast(k * i as string) from n, generate_series(0, 4) g(i)""")
+def _(s, d):
+    at = F.col("n_nationkey") + 1 + F.col("i") * 10
+    n = _t(s, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    return L.wig_lines(n.select(F.concat(F.lit("s"), "n_nationkey").alias("seqnames"), at.alias("start"), (at + 4).alias("end"), (F.col("n_nationkey") * F.col("i")).alias("score")))
+
+
+@query("hub_stanzas", """select 'o' || cast(o_orderkey as string) as file, cast(1 as bigint) as stanza, k as key, v as value from (select o_orderkey, unnest(['track', 'visibility', 'parent']) as k, unnest(['t' || cast(o_custkey as string), 'full x', 'top on']) as v from orders)""")
+def _(s, d):
+    text = F.array(F.lit("# a hub"), F.concat(F.lit("track t"), "o_custkey"), F.lit("\tvisibility full x"), F.lit("\tparent  top on"), F.lit(""))
+    lines = _t(s, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("file"), F.posexplode(text).alias("ord", "value"))
+    return hubs.stanzas(lines).select("file", "stanza", F.explode("fields").alias("key", "value"))
+
+
 # --- nesting, order, functions -----------------------------------------------------------------
 
 
