@@ -8,6 +8,8 @@ import pytest
 
 from trackforge.sources import bigwig
 
+from .test_formats import table
+
 SIGNAL = "seqnames string, start int, end int, score double"
 ROWS = [("chr2", i * 5 + 1, i * 5 + 3, i / 4) for i in range(2500)] + [("chr19", 10, 20, -1.0), ("chr19", 21, 21, 2.5)]
 LENGTHS = {"chr2": 20000, "chr19": 21, "chrX": 5}
@@ -50,3 +52,12 @@ def test_kinds_of_blocks():
     for kind, body in ((bigwig.VARIABLE, struct.pack("<IfIf", 10, 1, 14, 2)), (bigwig.FIXED, struct.pack("<ff", 1, 2)), (bigwig.BEDGRAPH, struct.pack("<IIfIIf", 10, 12, 1, 14, 16, 2))):
         number, a, b, v = bigwig.decode(head(kind, 2) + body)
         assert (number, a.tolist(), b.tolist(), v.tolist()) == (7, [10, 14], [12, 16], [1.0, 2.0])
+
+
+def test_from_wig(spark, tmp_path):
+    path = str(tmp_path / "w.bw")
+    wig = table(spark, "fixedStep chrom=a start=1 step=4", "1", "2", "variableStep chrom=a span=3", "9 5", "variableStep chrom=z", "1 1")
+    with pytest.raises(Exception):
+        bigwig.from_wig(wig, path, {"a": 10})
+    bigwig.from_wig(wig, path, {"a": 10}, clip=True)
+    assert sorted(tuple(r) for r in bigwig.scan(spark, path).collect()) == [("a", 1, 4, 1.0), ("a", 5, 8, 2.0), ("a", 9, 10, 5.0)]

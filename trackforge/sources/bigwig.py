@@ -238,3 +238,22 @@ def write(df: DataFrame, path: str, lengths: dict[str, int], slot: int = 1024) -
         f.seek(0)
         f.write(struct.pack("<IHHQQQHHQQIQ", SIGNATURE, 4, 0, 104, data, index, 0, 0, 0, 64, max(largest, 1), 0))
         f.write(struct.pack("<Qdddd", *(stats if leaves else [0, 0.0, 0.0, 0.0, 0.0])) + names + struct.pack("<I", len(leaves)))
+
+
+def from_wig(lines: DataFrame, path: str, lengths: dict[str, int], clip: bool = False) -> None:
+    """Writes the sections of WIG lines(file, ord, value) as a BigWig file.
+
+    Features that reach beyond their sequence, or are of an unknown one, are an error, or with clip cut or left out.
+    A fixedStep section without span has spans of its step here.
+    """
+    from .lines import wig
+
+    # as converters have it, a step without a span is the span
+    fixed = F.col("value").rlike(r"^fixedStep\b") & ~F.col("value").rlike(r"\bspan=")
+    step = F.regexp_extract("value", r"\bstep=(\d+)", 1)
+    signal = wig(lines.withColumn("value", F.when(fixed & (step != ""), F.concat("value", F.lit(" span="), step)).otherwise(F.col("value"))))
+    if clip:
+        known = signal.sparkSession.createDataFrame(list(lengths.items()), "seqnames string, _size long")
+        inside = signal.join(known, "seqnames").where((F.col("start") >= 1) & (F.col("start") <= F.col("_size")))
+        signal = inside.withColumn("end", F.least(F.col("end").cast("long"), "_size")).drop("_size")
+    write(signal, path, lengths)
