@@ -64,6 +64,18 @@ def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20):
+    """Python workers get batches of `size` bytes, a row at least, from the plans that run meanwhile."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(size, int(before)) if before.isdigit() else size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(df: DataFrame, key: str, rows: int, rows_per_task: int) -> DataFrame:
     """Deals df out by key to a number of partitions in proportion to its rows."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -187,19 +199,26 @@ class WordIds:
             gc.enable()
 
 
-_CACHES: dict[str, WordIds] = {}
+_CACHES: dict[tuple[str, int | None], WordIds] = {}
+
+
+def forget() -> None:
+    """Drops a worker's table of words and gives the memory back."""
+    if not _CACHES:
+        return
+    _CACHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc gives freed memory back on request
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def _cached(path: str, make) -> WordIds:
-    """The vocabulary's table; a worker that goes on to another vocabulary drops the one before."""
-    if path not in _CACHES:
-        _CACHES.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc gives freed memory back on request
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        _CACHES[path] = make()
-    return _CACHES[path]
+def _cached(path: str, full: int | None, make) -> WordIds:
+    """The vocabulary's table; a worker that goes on to another one drops the one before."""
+    if (path, full) not in _CACHES:
+        forget()
+        _CACHES[path, full] = make()
+    return _CACHES[path, full]
 
 
 #: Letters that NFC leaves alone and whose lower case is one letter of the same kind, then one mark at most.
@@ -213,10 +232,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def word_bpe(path: str) -> WordIds:
+def word_bpe(path: str, full: int | None = None) -> WordIds:
     """Ids of a vocabulary of the tokenizers library that lowers case and drops white space, without special tokens added.
 
-    Plain words go to the vocabulary's merges directly; all others through the whole tokenizer.
+    Plain words go to the vocabulary's merges directly; all others through the whole tokenizer. full: bound of the
+    table of known words.
     """
 
     def make() -> WordIds:
@@ -242,9 +262,9 @@ def word_bpe(path: str) -> WordIds:
                     stems[x] = ids
             return ids + mark[m[2]]
 
-        return WordIds(lambda words: map(one, words))
+        return WordIds(lambda words: map(one, words), full)
 
-    return _cached(path, make)
+    return _cached(path, full, make)
 
 
 def word_pieces(path: str) -> WordIds:
@@ -256,7 +276,7 @@ def word_pieces(path: str) -> WordIds:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         return WordIds(lambda words: (struct.pack(f"<{len(x)}H", *x) for x in sp.encode([w.decode() for w in words], num_threads=1)), 300_000)
 
-    return _cached(path, make)
+    return _cached(path, None, make)
 
 
 # --- connected components ----------------------------------------------------------------------

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table, word_hashes
+from .common import materialise, small_batches, table, word_hashes
 
 #: Target totals as shares of what there is, by (quality, toxic).
 TARGETS = {(1, 0): 1.0, (0, 0): 0.75, (1, 1): 0.0, (0, 1): 0.0}
@@ -147,7 +147,8 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict = TARGETS, sampl
     """doc_id, n_tokens, posterior, rate of every row of docs(doc_id, text)."""
     model, classes = classifier(docs, labels, sample)
     d = len(classes)
-    known = materialise(docs.select("doc_id", "text").mapInArrow(_posteriors(model), "doc_id long, n_tokens long, posterior array<double>"), "posteriors")
+    with small_batches(docs.sparkSession):
+        known = materialise(docs.select("doc_id", "text").mapInArrow(_posteriors(model), "doc_id long, n_tokens long, posterior array<double>"), "posteriors")
     slim = known.select("n_tokens", "posterior")
     steps: list[np.ndarray] = []
     size = target = None
