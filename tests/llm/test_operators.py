@@ -208,6 +208,15 @@ def test_quality(docs, odd, empty):
         assert quality.keep_good(df, PIECES).columns == df.columns
 
 
+def test_quality_rejects_labelled_junk(spark):
+    """On the half of the labels that BANDS weren't fitted to, texts that the base rules pass."""
+    big = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{big}/labels.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 1").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    got = quality.quality_rules(spark.read.parquet(f"{big}/documents.parquet").join(labels, "doc_id"), PIECES).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    kept = dict(map(tuple, got))
+    assert kept[0] < 0.05 and kept[1] > 0.97
+
+
 def test_sentence_spans(docs, odd, empty):
     for df in (docs, odd, empty):
         rows = sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda x: (x[0] is None, x[0] or 0))
