@@ -111,6 +111,28 @@ def test_disguises(text, kind, found):
     assert [text[a:b] for a, b in more[kind]] == [found]
 
 
+@pytest.mark.parametrize(
+    ("whole", "fragment"),
+    [
+        ("jоhn.smith@example.com", "hn.smith@example.com"),
+        ("john [dot] smith@example.com", "smith@example.com"),
+        ("john.smith@example.cоm", "john.smith@example.c"),
+        ("maria@mail.example (dot) com", "maria@mail.example"),
+    ],
+)
+def test_disguises_around_a_base_span(whole, fragment):
+    text = f"to {whole} now"
+    base, more = pii.find(text)
+    assert [text[a:b] for a, b in base["email"]] == [fragment]
+    assert [text[a:b] for a, b in more["email"]] == [whole]
+    assert pii.redact(text) == "to [EMAIL] now"
+
+
+def test_words_before_an_address_are_not_part_of_it():
+    assert pii.redact("write me at john.doe@example.com now") == "write me at [EMAIL] now"
+    assert pii.redact("write me at john.doe [dot] x@example.com now") == "write me at [EMAIL] now"
+
+
 def test_clean_text_has_no_spans():
     for text in ("nine at noon. He is at home.", "one two three", "Größe für 12 Leute", "see dot com"):
         assert not any(pii.find(text)[0].values()) and not any(pii.find(text)[1].values())

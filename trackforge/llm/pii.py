@@ -9,7 +9,8 @@ character they write, the source characters it stands for:
 * disguised signs, such as "(at)" and "[dot]", or " at " with a " dot " after it, become @ and full stops.
 
 The patterns run on the rewritten text too. A match there that holds at least one rewritten character, and whose
-source characters meet no base span, is a further span. Spans of a kind don't overlap.
+source characters don't all lie inside one base span of its kind, is a further span. So a further span can contain or
+extend a base span that is a fragment of it; base spans of a kind don't overlap.
 
 Null and empty texts: no spans. Very long texts are searched whole. Repeated rows: each by itself. Empty table: no
 rows. Other columns are ignored. Offsets count code points, ends are exclusive.
@@ -66,7 +67,9 @@ _WORD = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ]?)?{_WORD}(?:(?:[ ,-]{{1,2}}){_WORD}){{6,}}(?!\w)", re.I)
 _TWO_WORDS = re.compile(rf"{_WORD}[ ,-]{{1,2}}{_WORD}", re.I)
 _SIGN = re.compile(r"[ ]?[(\[{<][ ]?(?:(at|arroba|ät)|(dot|punkt|punto|point))[ ]?[)\]}>][ ]?", re.I)
-_PLAIN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])( at )(?=[A-Za-z0-9-]+(?: dot |\.)[A-Za-z0-9-]+)", re.I)
+_PART, _DOT = "[A-Za-z0-9._%+-]+", r"(?:[ ]dot[ ]|[ ]?[(\[{<][ ]?(?:dot|punkt|punto|point)[ ]?[)\]}>][ ]?)"
+# not before an address: "me at john.doe@example.com"
+_PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])( at )(?=[A-Za-z0-9-]+(?: dot |\.)[A-Za-z0-9-]+)(?!{_PART}(?:{_DOT}{_PART})*(?:@|[ ]?[(\[{{<][ ]?(?:at|arroba|ät)[ ]?[)\]}}>]))", re.I)
 _PLAIN_DOT = re.compile(r"(?<=[A-Za-z0-9-])( dot )(?=[A-Za-z0-9-])", re.I)
 
 
@@ -189,7 +192,7 @@ def find(text: str | None) -> tuple[dict, dict]:
             k = bisect_right(strange, s - 1)
             if not new.touched(a, b) and not (k < len(strange) and strange[k] < e):
                 continue
-            if all(e <= x or y <= s for x, y in have):
+            if not any(x <= s and e <= y for x, y in have):
                 more[kind].append((s, e))
     return base, more
 
