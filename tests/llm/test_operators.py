@@ -128,6 +128,32 @@ def test_disguises_around_a_base_span(whole, fragment):
     assert pii.redact(text) == "to [EMAIL] now"
 
 
+@pytest.mark.parametrize(
+    ("kind", "whole"),
+    [
+        ("ip", "one nine two dot one six eight dot zero dot one"),
+        ("ip", "192 dot one six eight dot 0 dot one"),
+        ("ip", "192.one six eight.0.1"),
+        ("phone", "+1 555 one two three 4567"),
+        ("phone", "plus 49 one five two three\tfour five six seven"),
+        ("phone", "+four nine one five two\nthree four five six seven"),
+        ("card", "four one one one 1111 1111 1111"),
+        ("card", "4111 one one one one\n1111 1111"),
+        ("email", "anna_four seven@example.com"),
+        ("email", "four two (at) example.com"),
+    ],
+)
+def test_spelled_digits(kind, whole):
+    text = f"see {whole}; now"
+    base, more = pii.find(text)
+    assert (more[kind] or base[kind]) and max((b - a, text[a:b]) for a, b in base[kind] + more[kind])[1] == whole
+    assert pii.redact(text) == f"see [{kind.upper()}]; now"
+
+
+def test_a_spelled_digit_beside_does_not_hide_a_disguised_one():
+    assert pii.redact("see one ４111 1111 1111 1111 now") == "see one [CARD] now"
+
+
 def test_words_before_an_address_are_not_part_of_it():
     assert pii.redact("write me at john.doe@example.com now") == "write me at [EMAIL] now"
     assert pii.redact("write me at john.doe [dot] x@example.com now") == "write me at [EMAIL] now"

@@ -5,10 +5,12 @@ character they write, the source characters it stands for:
 
 * homoglyphs (Cyrillic, Greek and full-width letters, digits of other scripts and forms) become ASCII characters,
   one for one;
-* spelled digits, seven or more in a row, become digits;
+* spelled digits, if one stands beside another, a digit or a disguised sign, become digits, those of a run joined; how
+  many make an identifier is left to the patterns;
 * disguised signs, such as "(at)" and "[dot]", or " at " with a " dot " after it, become @ and full stops.
 
-The patterns run on the rewritten text too. A match there that holds at least one rewritten character, and whose
+The patterns run on the rewritten text too, with spelled digits left alone, with runs joined within a line, and with runs
+joined over line ends and tabs. A match there that holds at least one rewritten character, and whose
 source characters don't all lie inside one base span of its kind, is a further span. So a further span can contain or
 extend a base span that is a fragment of it; base spans of a kind don't overlap.
 
@@ -64,8 +66,20 @@ _ASCII = _table()
 _STRANGE = re.compile("[" + "".join(map(re.escape, sorted(map(chr, _ASCII)))) + "]")
 _DIGIT = {w: str(i) for words in DIGITS.values() for i, w in enumerate(words.split())} | {"oh": "0"}
 _WORD = "(?:" + "|".join(sorted(_DIGIT, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ]?)?{_WORD}(?:(?:[ ,-]{{1,2}}){_WORD}){{6,}}(?!\w)", re.I)
-_TWO_WORDS = re.compile(rf"{_WORD}[ ,-]{{1,2}}{_WORD}", re.I)
+_ONE = re.compile(_WORD, re.I)
+_LETTER = r"[^\W_]"
+_LINE, _ANY = "[ ,-]{1,2}", r"[\s,-]{1,4}"  # what joins a run
+
+
+def _runs(join: str) -> re.Pattern:
+    """Joint behind a digit, plus sign, run of spelled digits, joint before a digit."""
+    return re.compile(rf"(?:(?<=[0-9])({join})|(?<!{_LETTER}))((?:plus|\+)[ ]?)?({_WORD}(?:{join}{_WORD})*)(?!{_LETTER})({join}(?=[0-9]))?|(?<!{_LETTER})(plus)[ ]?(?=[0-9])", re.I)
+
+
+_RUNS = [_runs(_LINE), _runs(_ANY)]
+_BESIDE = rf"(?:{_ANY}|[ ]?[.@+_()\[\]{{}}<>][ ]?|[ ](?:dot|at)[ ])"
+_NEAR = re.compile(rf"\b{_WORD}(?:{_ANY}(?:[0-9]|{_WORD}(?!{_LETTER}))|[ ]?[.@_()\[\]{{}}<>][ ]?\w|[ ](?:dot|at)[ ])|_{_WORD}(?!{_LETTER})", re.I)
+_NEAR_DIGIT = re.compile(rf"[0-9]{_BESIDE}{{1,2}}(?:plus[ ]?)?{_WORD}(?!{_LETTER})|plus[ ]?[0-9]", re.I)
 _SIGN = re.compile(r"[ ]?[(\[{<][ ]?(?:(at|arroba|ät)|(dot|punkt|punto|point))[ ]?[)\]}>][ ]?", re.I)
 _PART, _DOT = "[A-Za-z0-9._%+-]+", r"(?:[ ]dot[ ]|[ ]?[(\[{<][ ]?(?:dot|punkt|punto|point)[ ]?[)\]}>][ ]?)"
 # not before an address: "me at john.doe@example.com"
@@ -143,19 +157,30 @@ class Rewritten:
         return False
 
 
-def _edits(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+def _digits(text: str, runs: re.Pattern) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+    """Edits that make digits of the spelled ones."""
     out = []
-    if _TWO_WORDS.search(text):
-        for m in _SPELLED.finditer(text):
-            new, spans = "", []
-            if m[0][0] in "+pP":
-                end = m.start() + (1 if m[0][0] == "+" else 4)
-                new, spans = "+", [(m.start(), end)]
-            for w in re.finditer(_WORD, m[0], re.I):
-                if w.start() or not new:
-                    new += _DIGIT[w[0].lower()]
-                    spans.append((m.start() + w.start(), m.start() + w.end()))
-            out.append((m.start(), m.end(), new, spans))
+    for m in runs.finditer(text):
+        new, spans = "", []
+        if m[1]:
+            new, spans = " ", [m.span(1)]
+        if plus := m[2] or m[5]:
+            k = 2 if m[2] else 5
+            new += "+"
+            spans.append((m.start(k), m.start(k) + len(plus.rstrip(" "))))
+        if m[3]:
+            for w in _ONE.finditer(text, *m.span(3)):
+                new += _DIGIT[w[0].lower()]
+                spans.append(w.span())
+        if m[4]:
+            new += " "
+            spans.append(m.span(4))
+        out.append((m.start(), m.end(), new, spans))
+    return out
+
+
+def _edits(text: str, out: list) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+    """These edits and those of disguised signs, in order, apart."""
     signs = []
     if "(" in text or "[" in text or "{" in text or "<" in text:
         signs += [(m.start(), m.end(), "@" if m[1] else ".", [m.span()]) for m in _SIGN.finditer(text)]
@@ -181,19 +206,27 @@ def find(text: str | None) -> tuple[dict, dict]:
     strange = [m.start() for m in _STRANGE.finditer(text)] if not text.isascii() else []
     if strange:
         folded = text.translate(_ASCII)
-    edits = list(_edits(folded))
-    if not strange and not edits:
-        return base, more
-    new = Rewritten(folded, edits)
-    for kind, spans in detect(new.text).items():
-        have = base[kind]
-        for a, b in spans:
-            s, e = new.source(a)[0], new.source(b - 1)[1]
-            k = bisect_right(strange, s - 1)
-            if not new.touched(a, b) and not (k < len(strange) and strange[k] < e):
-                continue
+    ways = [list(_edits(folded, []))]
+    if _NEAR.search(folded) or _NEAR_DIGIT.search(folded):
+        for runs in _RUNS:
+            if (edits := list(_edits(folded, _digits(folded, runs)))) not in ways:
+                ways.append(edits)
+    for edits in ways:
+        if not strange and not edits:
+            continue
+        new = Rewritten(folded, edits)
+        for kind, spans in detect(new.text).items():
+            for a, b in spans:
+                s, e = new.source(a)[0], new.source(b - 1)[1]
+                k = bisect_right(strange, s - 1)
+                if new.touched(a, b) or (k < len(strange) and strange[k] < e):
+                    more[kind].append((s, e))
+    for kind, spans in more.items():
+        have = list(base[kind])
+        for s, e in sorted(set(spans), key=lambda x: (x[0] - x[1], x)):
             if not any(x <= s and e <= y for x, y in have):
-                more[kind].append((s, e))
+                have.append((s, e))
+        more[kind] = sorted(have[len(base[kind]) :])
     return base, more
 
 
