@@ -338,6 +338,13 @@ def test_mixing(spark, docs, odd, empty):
     assert (np.abs((w * n) @ p - target) <= 0.05 * (n @ p)).all() and (w >= 0).all()
 
 
+def test_rows_taken_follow_the_rates(spark):
+    """Sure membership and a target share of 0.9: nine rows in ten, not all of them."""
+    rows = spark.range(4000).selectExpr("id as doc_id", "'some words of a text' as text")
+    labels = spark.range(4000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert abs(mixing.mixed(rows, labels, {(1, 0): 0.9}).count() / 4000 - 0.9) < 0.02
+
+
 def test_classifier_on_held_out_labels(spark):
     big = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")

@@ -170,13 +170,12 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict = TARGETS, sampl
     return known.mapInArrow(final, "doc_id long, n_tokens long, posterior array<double>, rate double")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict = TARGETS, near: float = 0.2, **options) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict = TARGETS, **options) -> DataFrame:
     """docs, all columns, each row as often as its rate says: the whole part, and the fraction by a hash of doc_id.
 
-    Rates within `near` of a whole number count as that number, so that small shifts of the mix leave documents alone.
+    So the totals taken are those of the rates, but for chance.
     """
-    r = F.col("rate")
-    whole = F.when(F.abs(r - F.round(r)) <= near, F.round(r)).otherwise(F.floor(r + F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0))
+    whole = F.floor(F.col("rate") + F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0)
     often = mix_rates(docs, labels, targets, **options).groupBy("doc_id").agg(F.max(whole).cast("int").alias("_copies")).where("_copies > 0")
     often = materialise(often.withColumnRenamed("doc_id", "_taken"), "rates")
     out = docs.join(often, docs["doc_id"].eqNullSafe(often["_taken"]))
