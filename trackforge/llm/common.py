@@ -29,12 +29,14 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share.
 
     It lies under spark.checkpoint.dir, read from the session. Only where that is unset (tests on one
-    machine) the session gets a folder of its own.
+    machine) the session gets a folder of its own; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='trackforge-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -55,13 +57,46 @@ def _tidy() -> None:
             return
 
 
-def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Writes df to a shared folder and reads it back: later jobs neither compute it again nor depend on executors that are lost."""
+#: Shuffle files go as soon as the query that made them ends; what it wrote is read instead.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value):
+    """A setting of the session for the plans that run meanwhile."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def materialise(df: DataFrame, tag: str, compression: str = "zstd", drop: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Writes df to a shared folder and reads it back: later jobs neither compute it again nor depend on executors that are lost.
+
+    drop: tables made by this function that nothing reads any more once df is written; they are deleted then.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    with setting(spark, _CLEAN, "true"):
+        df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    release(*drop)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialise wrote and that nothing reads any more."""
+    for df in tables:
+        if path := df.__dict__.pop("_folder", None):
+            remove(df.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
 
 
 @contextlib.contextmanager
@@ -69,11 +104,16 @@ def small_batches(spark: SparkSession, size: int = 8 << 20):
     """Python workers get batches of `size` bytes, a row at least, from the plans that run meanwhile."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, min(size, int(before)) if before.isdigit() else size)
-    try:
+    with setting(spark, name, str(min(size, int(before)) if before.isdigit() else size)):
         yield
-    finally:
-        spark.conf.set(name, before)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def spread(df: DataFrame, key: str, rows: int, rows_per_task: int) -> DataFrame:
@@ -138,6 +178,12 @@ def shingles(data: bytes, k: int = 5) -> np.ndarray:
 # --- token ids by word -------------------------------------------------------------------------
 
 
+def coded_words(texts: pa.Array):
+    """The words of texts as lists, and all of them one after the other, dictionary-coded. None counts as empty."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    return lists, lists.flatten().dictionary_encode()
+
+
 class WordIds:
     """The uint16 ids of texts, word by word.
 
@@ -153,10 +199,8 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.full = full or self.full
 
-    def block(self, texts: pa.Array):
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
         known = self.known
         fresh = [w for w in words if w not in known]
         if len(known) > self.full and len(fresh) > len(words) // 2:
@@ -167,6 +211,11 @@ class WordIds:
         if len(known) > self.full:
             for w in fresh:
                 del known[w]
+        return parts
+
+    def block(self, texts: pa.Array):
+        lists, coded = coded_words(texts)
+        parts = self.of_words(coded.dictionary.cast(pa.large_binary()).to_pylist())
         pool = np.frombuffer(b"".join(parts), np.uint16)
         size = np.fromiter(map(len, parts), np.int32, len(parts)) // 2
         place = (np.cumsum(size) - size).astype(np.int32)
@@ -183,8 +232,19 @@ class WordIds:
         for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             yield ids[x:y]
 
-    def texts(self, texts: pa.Array | list, block: int = 8 << 20):
+    def counts(self, texts: pa.Array, block: int = 8 << 20):
+        """The number of ids of each text in turn."""
+        return self.texts(texts, block, self._counted)
+
+    def _counted(self, texts: pa.Array):
+        lists, coded = coded_words(texts)
+        size = np.fromiter(map(len, self.of_words(coded.dictionary.cast(pa.large_binary()).to_pylist())), np.int64, len(coded.dictionary)) // 2
+        ends = np.append(0, np.cumsum(size[coded.indices.to_numpy()]))[lists.offsets.to_numpy()]
+        yield from np.diff(ends).tolist()
+
+    def texts(self, texts: pa.Array | list, block: int = 8 << 20, of_block=None):
         """The ids of each text in turn; None counts as empty. block: bytes of text that are taken at once, a text's own at least."""
+        of_block = of_block or self.block
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         gc.disable()  # the many small objects here hold no cycles
@@ -193,27 +253,31 @@ class WordIds:
             while at < len(column):
                 before = int(ends[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(ends, before + block, "right")))
-                yield from self.block(column.slice(at, to - at))
+                yield from of_block(column.slice(at, to - at))
                 at = to
         finally:
             gc.enable()
 
 
-_CACHES: dict[tuple[str, int | None], WordIds] = {}
+_CACHES: dict[tuple[str, int | None], WordIds | tuple[WordIds, WordIds]] = {}
 
 
-def forget() -> None:
-    """Drops a worker's table of words and gives the memory back."""
-    if not _CACHES:
-        return
-    _CACHES.clear()
+def trim() -> None:
+    """Gives freed memory of a worker back."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc gives freed memory back on request
+    with contextlib.suppress(OSError, AttributeError):  # only glibc does so on request
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def _cached(path: str, full: int | None, make) -> WordIds:
+def forget() -> None:
+    """Drops a worker's table of words and gives the memory back."""
+    if _CACHES:
+        _CACHES.clear()
+        trim()
+
+
+def _cached(path: str, full: int | None, make):
     """The vocabulary's table; a worker that goes on to another one drops the one before."""
     if (path, full) not in _CACHES:
         forget()
@@ -267,16 +331,26 @@ def word_bpe(path: str, full: int | None = None) -> WordIds:
     return _cached(path, full, make)
 
 
-def word_pieces(path: str) -> WordIds:
-    """Ids of a sentencepiece vocabulary for each word by itself."""
+def word_pieces(path: str, ranks: str, pattern: str, full: int = 150_000) -> tuple[WordIds, WordIds]:
+    """Ids for each word by itself in a sentencepiece vocabulary, and in a byte-level one given by ranks of byte strings."""
+
+    def make() -> tuple[WordIds, WordIds]:
+        import base64
 
-    def make() -> WordIds:
         import sentencepiece
+        import tiktoken
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        return WordIds(lambda words: (struct.pack(f"<{len(x)}H", *x) for x in sp.encode([w.decode() for w in words], num_threads=1)), 300_000)
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        bytes_ = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        packed = lambda rows: (struct.pack(f"<{len(x)}H", *x) for x in rows)
+        return (
+            WordIds(lambda words: packed(sp.encode([w.decode() for w in words], num_threads=1)), full),
+            WordIds(lambda words: packed(bytes_.encode_ordinary(" " + w.decode()) for w in words), full),
+        )
 
-    return _cached(path, None, make)
+    return _cached(f"{path} {ranks}", full, make)
 
 
 # --- connected components ----------------------------------------------------------------------
@@ -299,12 +373,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: neighbours above a node link to the least of its neighbourhood
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
-        large = materialise(large.distinct(), "links")
+        large = materialise(large.distinct(), "links", drop=(now,))
         # small star: a node and its neighbours below link to the least of them
         low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u")
         small = small.select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").union(low.select("m", "u"))
-        now = materialise(small.distinct(), "links")
+        now = materialise(small.distinct(), "links", drop=(large,))
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -312,4 +386,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     top = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return top.union(now.select("a", "a").distinct())
+    return materialise(top.union(now.select("a", "a").distinct()), "components", drop=(now,))
