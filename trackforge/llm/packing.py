@@ -3,15 +3,17 @@
 A text becomes the ids of its tokens and an end id; what is longer than a sequence is cut into pieces of a
 sequence's length, the last of which may be shorter. Pieces are packed into as few sequences as possible.
 
-Pieces are dealt to demes by hash. On each deme, islands evolve populations of packings. A packing is a list of
+Pieces are dealt to demes at random. On each deme, islands evolve populations of packings. A packing is a list of
 bins. Crossover injects the other parent's best-filled bins whole, removes the bins that hold any of their
 documents, and puts the documents so displaced back by best fit, largest first. Mutation breaks up the worst-filled
-bins. After some generations the elite of each island migrates to the next one. Of the best packing of a deme the
-bins that are filled up are final; the documents of the others migrate to the next round's demes, which are
-fewer, until one deme holds all that is left.
-
-Null and empty texts: the end id alone. Repeated rows are packed as often as they occur. Empty table: no rows.
-Other columns are ignored.
+bins. After some generations the elite of each island migrates to the next one. A packing is better with fewer bins,
+then with fuller full ones. A round ends with the better-filled half of each deme's bins, and all that are filled to
+1 - `waste`, as final; the documents of the others migrate to the next round's demes, half as many, until one deme
+holds all that is left.
+
+Null and empty texts: the end id alone. Very long texts: as many pieces as they need. Repeated rows are packed as
+often as they occur. Ties of length go by doc_id, then piece. Empty table: no rows. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def cross(a: Packing, b: Packing, size, limit, rng) -> Packing:
 
 
 def evolve(size: list[int], limit: int, seed: int, islands: int, population: int, generations: int, epochs: int) -> Packing:
-    """The best packing of a deme; stops as soon as no packing can have fewer bins."""
+    """The best packing of a deme. After an epoch it stops as soon as no packing can have fewer bins."""
     rng = np.random.default_rng(seed)
     least = -(-sum(size) // limit)
     everything = range(len(size))
@@ -113,7 +115,7 @@ def evolve(size: list[int], limit: int, seed: int, islands: int, population: int
         return Packing(bins, size, limit)
 
     first = start(False)
-    if len(first.bins) <= least:
+    if len(first.bins) < 3:  # nothing to exchange
         return first
     pools = [[first] + [start(True) for _ in range(population - 1)] for _ in range(islands)]
     for _ in range(epochs):
@@ -122,30 +124,33 @@ def evolve(size: list[int], limit: int, seed: int, islands: int, population: int
                 a, b = (max((pool[k] for k in rng.integers(0, len(pool), 2)), key=lambda p: p.merit) for _ in range(2))
                 pool.append(cross(a, b, size, limit, rng))
                 pool.remove(min(pool, key=lambda p: p.merit))
-            if max(p.merit for p in pool)[0] >= -least:
-                return max(pool, key=lambda p: p.merit)
+        if max(p.merit for pool in pools for p in pool)[0] >= -least:
+            break
         elite = [max(pool, key=lambda p: p.merit) for pool in pools]
         for k, pool in enumerate(pools):
             pool[pool.index(min(pool, key=lambda p: p.merit))] = elite[k - 1]
     return max((p for pool in pools for p in pool), key=lambda p: p.merit)
 
 
-PACKED = PIECES + ", deme long, bin int, offset long, room long"
+PACKED = PIECES + ", deme long, bin int, offset long, final boolean"
 
 
-def _deme(limit: int, seed: int, islands: int, population: int, generations: int, epochs: int):
+def _deme(limit: int, waste: float, seed: int, islands: int, population: int, generations: int, epochs: int):
     def run(t: pa.Table) -> pa.Table:
         forget()  # the texts are behind it
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         size = t.column("length").to_pylist()
         best = evolve(size, limit, seed, islands, population, generations, epochs)
-        of, offset, room = np.empty(len(size), np.int32), np.empty(len(size), np.int64), np.empty(len(size), np.int64)
-        for k, (items, r) in enumerate(zip(best.bins, best.room)):
+        if len(best.bins) >= 1 << 16:
+            raise ValueError("a deme has too many bins to number; deme_rows is too large")
+        final = np.array(best.room) <= np.median(best.room)
+        of, offset, done = np.empty(len(size), np.int32), np.empty(len(size), np.int64), np.empty(len(size), bool)
+        for k, (items, r, f) in enumerate(zip(best.bins, best.room, final)):
             at = 0
             for i in items:
-                of[i], offset[i], room[i] = k, at, r
+                of[i], offset[i], done[i] = k, at, f or r <= limit * waste
                 at += size[i]
-        return t.append_column("bin", pa.array(of)).append_column("offset", pa.array(offset)).append_column("room", pa.array(room))
+        return t.append_column("bin", pa.array(of)).append_column("offset", pa.array(offset)).append_column("final", pa.array(done))
 
     return run
 
@@ -155,24 +160,24 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, deme_ro
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces(path, limit, end_id), PIECES)
     with small_batches(docs.sparkSession):
         cut = materialise(cut, "pieces")
-    # sequences that one piece fills get even numbers, those of demes odd ones
+    # sequences that one piece fills get even numbers, those of demes odd ones: round, deme and bin, of 6, 40 and 16 bits
     done = [cut.where(F.col("length") == limit).withColumns({"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("long")})]
-    rest, last, rnd = cut.where(F.col("length") < limit), None, 0
-    while True:
-        n = rest.count()
-        if not n:
-            break
-        demes = max(1, n // deme_rows)
-        deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(rnd)), F.lit(demes))
-        packed = rest.withColumn("deme", deal).groupBy("deme").applyInArrow(_deme(limit, rnd, islands, population, generations, epochs), PACKED)
+    rest, rnd = cut.where(F.col("length") < limit), 0
+    n = rest.count()
+    demes = max(1, n // deme_rows)
+    while n:
+        # by place in the table, so that repeated rows are dealt out as well
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(rnd)), F.lit(demes))
+        packed = rest.withColumn("deme", deal).groupBy("deme").applyInArrow(_deme(limit, waste, rnd, islands, population, generations, epochs), PACKED)
         packed = materialise(packed, "packed")
-        number = ((F.lit(rnd).cast("long") * 2**40 + F.col("deme") * 2**20 + F.col("bin")) * 2 + 1).alias("sequence_id")
+        number = ((F.lit(rnd).cast("long") * 2**56 + F.col("deme") * 2**16 + F.col("bin")) * 2 + 1).alias("sequence_id")
         columns = ["doc_id", "piece", "start", "length", "ids_crc32", number, "offset"]
-        final = demes == 1 or n == last
-        done.append(packed.where(F.lit(final) | (F.col("room") <= limit * waste)).select(*columns))
-        if final:
+        done.append(packed.where(F.lit(demes == 1) | F.col("final")).select(*columns))
+        if demes == 1:
             break
-        rest, last, rnd = packed.where(F.col("room") > limit * waste).select("doc_id", "piece", "start", "length", "ids_crc32"), n, rnd + 1
+        rest, rnd = packed.where("not final").select("doc_id", "piece", "start", "length", "ids_crc32"), rnd + 1
+        n = rest.count()
+        demes = max(1, min(demes // 2, n // deme_rows))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
