@@ -1,16 +1,16 @@
 """Sharding by Karmarkar-Karp differencing.
 
-Law `bytes`: the shards' sizes come out near equal. Rows of equal text form a group that stays in one shard. A
-group larger than `split` times an even share can't stay whole without upsetting the balance, so it is cut into
-pieces of that size at most, by a hash of doc_id.
+Law `bytes`: the shards' sizes come out near equal. Rows of equal text form a group that stays whole in one shard,
+however large it is; a group above an even share then has its shard to itself as far as the other groups allow.
 
 Groups are dealt to tasks by hash. Each task starts with one partial partition a group (all of it in one of k
 subsets) and combines the two of largest spread again and again, oppositely ordered, until one is left: a map
 from group to subset with k sums. The driver then does the same with one partial partition a task; it sees
 nothing but k sums of each.
 
-Null text: no bytes, a group with other nulls. Empty text: likewise by itself. Repeated rows: one group. Empty
-table: no rows. Other columns are ignored.
+Null text: no bytes, a group with other nulls. Empty text: likewise by itself. Very long texts: groups like others.
+Repeated rows: one group. Ties of size go by the hash of the text. Empty table: no rows. Other columns, whatever their
+names, are ignored. Slots of a shard count up by doc_id within hash buckets; ties are in any order.
 """
 
 from __future__ import annotations
@@ -55,17 +55,17 @@ def differencing(starts: list[np.ndarray]):
 
 def _partition(shards: int):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("bytes", "descending"), ("grp", "ascending"), ("cut", "ascending")])
+        t = t.sort_by([("bytes", "descending"), ("grp", "ascending"), ("grp2", "ascending")])
         size = t.column("bytes").to_numpy()
         starts = [np.concatenate([[x], np.zeros(shards - 1, np.int64)]) for x in size]
         sums, ends = differencing(starts)
         sub = np.array([e[0] for e in ends])
-        return pa.table([t.column("part"), t.column("grp"), t.column("grp2"), t.column("cut"), pa.array(sub, pa.int32()), pa.array(sums[sub], pa.int64())], names=["part", "grp", "grp2", "cut", "subset", "total"])
+        return pa.table([t.column("part"), t.column("grp"), t.column("grp2"), pa.array(sub, pa.int32()), pa.array(sums[sub], pa.int64())], names=["part", "grp", "grp2", "subset", "total"])
 
     return run
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, split: float = 1.0, groups_per_task: int = 50_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, groups_per_task: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -77,18 +77,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, split: float = 1.0, groups
         F.xxhash64(F.lit(7), F.reverse(text)).alias("grp2"),
     )
     rows = materialise(rows, "rows")
-    groups = materialise(rows.groupBy("grp", "grp2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
-    total, n = groups.agg(F.sum("bytes"), F.count("*")).first()
-    limit = max(1, int((total or 0) * split / shards))
-    large = F.greatest(F.lit(1), F.ceil(F.col("bytes") / limit)).cast("int")
-    ways = materialise(groups.where(F.col("bytes") > limit).select("grp", "grp2", large.alias("ways")), "ways")
-    # groups that are too large, of which there are shards / split at most: their pieces by a hash of doc_id
-    cut = F.when(F.col("ways").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("ways"))).otherwise(0).cast("int")
-    rows = rows.join(F.broadcast(ways), ["grp", "grp2"], "left").withColumn("cut", cut).drop("ways")
-    pieces = rows.groupBy("grp", "grp2", "cut").agg(F.sum("size").alias("bytes"))
-    parts = max(1, -(-(n or 0) // groups_per_task), min(12, (n or 0) // 1000))
-    pieces = pieces.withColumn("part", F.pmod(F.col("grp2"), F.lit(parts)))
-    placed = materialise(pieces.groupBy("part").applyInArrow(_partition(shards), "part long, grp long, grp2 long, cut int, subset int, total long"), "placed")
+    groups = materialise(rows.groupBy("grp", "grp2").agg(F.sum("size").alias("bytes")), "groups")
+    n = groups.count()
+    parts = max(1, -(-n // groups_per_task), min(12, n // 1000))
+    pieces = groups.withColumn("part", F.pmod(F.col("grp2"), F.lit(parts)))
+    placed = materialise(pieces.groupBy("part").applyInArrow(_partition(shards), "part long, grp long, grp2 long, subset int, total long"), "placed", drop=(groups,))
     sums = placed.groupBy("part", "subset").agg(F.first("total").alias("total")).collect()
     at = sorted({r["part"] for r in sums})
     starts = {p: np.zeros(shards, np.int64) for p in at}
@@ -97,9 +90,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, split: float = 1.0, groups
     ends = differencing([starts[p] for p in at])[1] if at else []
     final = [(int(p), s, int(e[s])) for p, e in zip(at, ends) for s in range(shards)]
     final = spark.createDataFrame(final, "part long, subset int, shard int")
-    placed = placed.join(F.broadcast(final), ["part", "subset"]).select("grp", "grp2", "cut", "shard")
-    out = rows.join(placed, ["grp", "grp2", "cut"]).drop("grp", "grp2", "cut")
-    return with_slots(out).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = placed.join(F.broadcast(final), ["part", "subset"]).select("grp", "grp2", "shard")
+    return with_slots(rows.join(placed, ["grp", "grp2"]).drop("grp", "grp2")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def with_slots(rows: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
