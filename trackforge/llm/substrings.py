@@ -1,16 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences, at full stops, question and exclamation marks before white space, and at line ends.
-A sentence of more than `longest` words is cut further, at places that its words choose (a hash of the two words
-around the place), so that a passage is cut alike wherever it lies. A span starts at each sentence and takes in
-sentences until it has at least `least_sentences` of them and `least_words` words. Spans are hashed over their words
-and joined globally; the first one (least doc_id, then place) of equal spans stays. Every sentence that a span other
+A sentence of more than `longest` words is cut further, at places that its words choose: of every `longest` places in
+a row the one of least hash of the two words around it. So a passage is cut alike wherever it lies, and any run of
+`longest` places has a cut. A span starts at each sentence and takes in sentences until it has at least
+`least_sentences` of them and `least_words` words: fewer words of a language recur by chance. A text of several
+sentences but fewer words is one span as a whole. Spans are hashed over their words and joined globally; the first one (least doc_id, then place) of equal spans stays. Every sentence that a span other
 than the first covers is removed.
 
-Only spans that occur more than once come back from the global step, by hash: hot spans have been counted in each
-task before. Null and empty texts: no sentences, text as it was. Rows of null doc_id: their text stays and
-counts for no span. Copies of a text: all but the first lose the
-sentences that spans cover. Rows with one doc_id count as places of one document. Empty table: no rows. Other columns
+Only spans that occur more than once come back from the global step, by hash, each as one row with its first place.
+They meet the places by a shuffled inner join, in which adaptive execution splits a partition that one hot span
+makes large. Null and empty texts: no sentences, text as it was.
+Texts of fewer sentences: no spans. Very long texts are read whole. Rows of null doc_id: their text stays
+and counts for no span. Copies of a text: all but the first lose the sentences that spans cover. Rows with one doc_id
+count as places of one document; ties go to the least place. Empty table: no rows. Other columns, whatever their names,
 are kept by `without_repeats` and ignored by the query.
 """
 
@@ -21,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, table, word_hashes
-
+from .common import fresh_name, materialise, mix, small_batches, table, word_hashes
 
 
 def sentences(text: str, longest: int = 16):
@@ -44,22 +46,23 @@ def sentences(text: str, longest: int = 16):
     first = np.flatnonzero(new)
     size = np.diff([*first, len(words)])
     if (size > longest).any():  # content-defined places in long sentences
-        long = np.repeat(size > longest, size)
-        pair = np.zeros(len(words), bool)
-        pair[1:] = mix(words[1:] * np.uint64(3) + words[:-1]) % np.uint64(6) == 0
-        new |= long & pair
+        pair = np.zeros(len(words), np.uint64)
+        pair[1:] = mix(words[1:] * np.uint64(3) + words[:-1])
+        for a, n in zip(first[size > longest], size[size > longest]):
+            inside = pair[a + 1 : a + n]
+            new[a + 1 + np.unique(np.arange(n - longest) + np.lib.stride_tricks.sliding_window_view(inside, longest).argmin(axis=1))] = True
         first = np.flatnonzero(new)
     return data, words, start, end, first
 
 
 def spans(words: np.ndarray, first: np.ndarray, least_sentences: int, least_words: int):
     """For each sentence that a span can start at: hash of the span, its first sentence and the one after its last."""
-    if not len(first):
-        return np.empty(0, np.uint64), first, first
+    if len(first) < least_sentences:
+        return np.empty(0, np.uint64), first[:0], first[:0]
     bounds = np.append(first, len(words))
-    to = np.maximum(np.searchsorted(bounds, first + least_words), np.arange(len(first)) + least_sentences)
-    ok = to <= len(first)
-    i, to = np.flatnonzero(ok), to[ok]
+    to = np.maximum(np.searchsorted(bounds, first + min(least_words, len(words))), np.arange(len(first)) + least_sentences)
+    i = np.flatnonzero(to <= len(first))
+    to = to[i]
     # a rolling hash over words: prefix sums of hash times power
     n = len(words)
     base = 0xD6E8FEB86659FD93
@@ -94,13 +97,13 @@ def _spans(least_sentences: int, least_words: int, longest: int):
     return run
 
 
-def _cut(least_sentences: int, least_words: int, longest: int, full: bool):
-    """mapInArrow over (doc_id, text, places): the text without the sentences that the spans at these places cover."""
+def _cut(least_sentences: int, least_words: int, longest: int, full: bool, mark: str):
+    """mapInArrow over (doc_id, text, mark): the text without the sentences that the spans at these places cover."""
 
     def run(batches):
         for batch in batches:
             texts, counts, gone = [], [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist()):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column(mark).to_pylist()):
                 if not text:
                     texts.append(text)
                     counts.append(0)
@@ -130,34 +133,42 @@ def _cut(least_sentences: int, least_words: int, longest: int, full: bool):
             if full:
                 at = batch.schema.get_field_index("text")
                 kept = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                yield kept.select([c for c in kept.schema.names if c != "_places"])
+                yield kept.select([c for c in kept.schema.names if c != mark])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
     return run
 
 
-def _places(docs: DataFrame, least_sentences: int, least_words: int, longest: int) -> DataFrame:
-    """(doc_id, places): the sentences at which spans start that are not the first of their kind."""
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_spans(least_sentences, least_words, longest), "span long, doc_id long, place int")
-    every = materialise(every, "spans")
+def _places(docs: DataFrame, least_sentences: int, least_words: int, longest: int, mark: str) -> DataFrame:
+    """(mark_id, mark): documents and the sentences at which spans start that are not the first of their kind."""
+    with small_batches(docs.sparkSession):
+        every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_spans(least_sentences, least_words, longest), "span long, doc_id long, place int")
+        every = materialise(every, "spans")
     first = every.groupBy("span").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", F.col("first.doc_id").alias("d"), F.col("first.place").alias("p"))
-    first = materialise(first, "repeated")
     again = every.join(first, "span").where("doc_id <> d or place <> p").select("doc_id", "place")
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("_places"))
+    places = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias(mark)).withColumnRenamed("doc_id", mark + "id")
+    return materialise(places, "places", drop=(every,))
+
+
+def _marked(docs: DataFrame, least_sentences: int, least_words: int, longest: int) -> tuple[DataFrame, str]:
+    mark = fresh_name(docs, "places_")
+    while fresh_name(docs, mark + "id") != mark + "id":
+        mark = "_" + mark
+    places = _places(docs, least_sentences, least_words, longest, mark)
+    return docs.join(places, docs["doc_id"] == places[mark + "id"], "left").drop(mark + "id"), mark
 
 
 def without_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 18, longest: int = 16) -> DataFrame:
     """docs, all columns, with repeated sentences removed from text."""
-    places = _places(docs, least_sentences, least_words, longest)
-    return docs.join(places, "doc_id", "left").mapInArrow(_cut(least_sentences, least_words, longest, True), docs.schema)
+    rows, mark = _marked(docs, least_sentences, least_words, longest)
+    return rows.mapInArrow(_cut(least_sentences, least_words, longest, True, mark), docs.schema)
 
 
 def repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 18, longest: int = 16) -> DataFrame:
     """doc_id, n_sentences, n_removed and what is left of text, for every row of docs(doc_id, text)."""
-    places = _places(docs, least_sentences, least_words, longest)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places, "doc_id", "left")
-    return rows.mapInArrow(_cut(least_sentences, least_words, longest, False), "doc_id long, n_sentences long, n_removed long, text string")
+    rows, mark = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least_sentences, least_words, longest)
+    return rows.mapInArrow(_cut(least_sentences, least_words, longest, False, mark), "doc_id long, n_sentences long, n_removed long, text string")
 
 
 def op4_sentence_spans(spark, sf_dir: str) -> DataFrame:
