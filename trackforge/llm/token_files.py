@@ -12,7 +12,8 @@ The ranks' table is a file of its own (ids by rank, u32). Files are written to a
 task that runs twice leaves one whole file.
 
 Null and empty texts: the end id alone. Texts of any length are encoded whole. Repeated rows: each is written. Null doc_id: before all others.
-Ties of doc_id: in order of their content. Empty table: no files, no rows. Other columns are ignored.
+Ties of doc_id: in order of their length, then their ids. Empty table: no files, no rows. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _written, materialise, shared_dir, table, word_bpe
+from .common import _written, materialise, release, shared_dir, table, word_bpe
 
 MAGIC = b"TFRANK01"
 #: Stands for a null doc_id.
@@ -139,15 +141,17 @@ def _read(id_of: np.ndarray):
     return run
 
 
-def write_files(docs: DataFrame, path: str, end_id: int, folder: str, file_ids: int = 1 << 21) -> DataFrame:
-    """Writes docs(doc_id, text) as files of ranks under folder; returns the table of files: part, first, docs, ids, body.
+def write_files(docs: DataFrame, path: str, end_id: int, folder: str, file_ids: int = 1 << 21, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """Writes docs(doc_id, text) as files of ranks under folder; returns the table of files: part, first, docs, ids, body, and own, the ids of its bucket before it.
 
     The folder is a Parquet table whose rows are whole files of the format (body) with their place in the order, so
     that it can be written to and read from any store that Spark reaches and commits of tasks are atomic.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    ways = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # a task holds one bucket, so their number follows the bytes of text
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ways = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes), 1)
     # bounds of ranges of doc_id, from that column alone
     cuts = docs.approxQuantile("doc_id", [i / ways for i in range(1, ways)], 0.1 / ways) if ways > 1 else []
     cuts = sorted({int(c) for c in cuts})
@@ -162,14 +166,16 @@ def write_files(docs: DataFrame, path: str, end_id: int, folder: str, file_ids:
 
     # a bucket lies in one partition; its documents go to files of that bucket in order
     def by_bucket(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("n", "ascending")])
+        t = t.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
         out = list(_files(rank_of, file_ids)(t.to_batches()))
         out = pa.Table.from_batches(out)
         b = t.column("bucket")[0].as_py()
-        return pa.table([pa.array([b] * len(out), pa.int32()), pa.array(range(len(out)), pa.int32()), *out.columns], names=["bucket", "part", "first", "docs", "ids", "body"])
+        ids = out.column("ids").to_numpy()
+        return pa.table([pa.array([b] * len(out), pa.int32()), pa.array(range(len(out)), pa.int32()), *out.columns, pa.array(np.cumsum(ids) - ids)], names=["bucket", "part", "first", "docs", "ids", "body", "own"])
 
-    files = blobs.groupBy("bucket").applyInArrow(by_bucket, "bucket int, part int, first long, docs long, ids long, body binary")
+    files = blobs.groupBy("bucket").applyInArrow(by_bucket, "bucket int, part int, first long, docs long, ids long, body binary, own long")
     files.write.option("compression", "none").parquet(f"{folder}/files")
+    release(blobs)
     return spark.read.parquet(f"{folder}/files")
 
 
@@ -178,12 +184,11 @@ def read_files(spark, folder: str) -> DataFrame:
     [row] = spark.read.parquet(f"{folder}/ranks").collect()
     id_of = np.frombuffer(row["ids"], "<u4")
     files = spark.read.parquet(f"{folder}/files")
-    sizes = sorted((r["bucket"], r["part"], r["ids"]) for r in files.select("bucket", "part", "ids").collect())
-    before, total = [], 0
-    for b, p, n in sizes:
-        before.append((b, p, total))
-        total += n
-    placed = files.join(F.broadcast(spark.createDataFrame(before, "bucket int, part int, before long")), ["bucket", "part"])
+    # running sums of the buckets, of which there are as many as blocks of text; files hold those within their bucket
+    buckets = files.groupBy("bucket").agg(F.sum("ids").alias("n")).orderBy("bucket").toPandas()
+    start = pd.DataFrame({"bucket": buckets["bucket"].astype("int32"), "start": (buckets["n"].cumsum() - buckets["n"]).astype("int64")})
+    starts = spark.createDataFrame(start, "bucket int, start long")
+    placed = files.join(F.broadcast(starts) if len(start) <= 1 << 20 else starts, "bucket").withColumn("before", F.col("start") + F.col("own"))
     return placed.select("before", "body").mapInArrow(_read(id_of), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
