@@ -28,13 +28,14 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import forget, table
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match starts where its run of digits does: a later start in a run would fail as the first one did
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -267,6 +268,7 @@ def _rows(batches):
 
 
 def _redacted(batches):
+    forget()
     for batch in batches:
         at = batch.schema.get_field_index("text")
         texts = [None if t is None else redact(t) for t in batch.column(at).to_pylist()]
