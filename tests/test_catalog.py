@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from trackforge.plans import catalog
+from trackforge.plans import catalog, files  # noqa: F401 - files registers its queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 

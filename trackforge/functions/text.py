@@ -26,6 +26,12 @@ def url_encode(c: Column, chars: str) -> Column:
     return c
 
 
+def url_encode_except(c: Column, keep: str) -> Column:
+    """All characters but those that match `keep` as percent escapes of their UTF-8 bytes."""
+    one = lambda x: F.when(x.rlike(keep), x).otherwise(F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1"))
+    return F.when(c.rlike(f"^(?:{keep})*$"), c).otherwise(F.array_join(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), one), ""))
+
+
 def gff3_attributes(c: Column) -> Column:
     """Array of (tag, value): pieces between semicolons, split at their first =; pieces without one are ignored."""
     pieces = F.filter(F.split(c, ";"), lambda x: F.instr(x, "=") > 0)

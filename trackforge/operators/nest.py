@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .overlap import clipped, overlap_join
+
 
 def blocks(df: DataFrame, *keep: str) -> DataFrame:
     """Absolute ranges of each feature's relative blocks (array of start, width); without blocks the feature itself."""
@@ -53,8 +55,19 @@ def fold_blocks(sizes: Column, starts: Column) -> Column:
     return F.transform(F.arrays_zip(ints(starts).alias("a"), ints(sizes).alias("b")), lambda x: F.struct((x["a"] + 1).alias("start"), x["b"].alias("width")))
 
 
-def dense(signal: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, pos, value for every base of queries(query, seqnames, start, end); bases without data are 0."""
-    every = queries.select("query", "seqnames", F.explode(F.sequence("start", "end")).alias("pos"))
-    points = signal.select("seqnames", F.explode(F.sequence("start", "end")).alias("pos"), "value").groupBy("seqnames", "pos").agg(F.sum("value").alias("value"))
-    return every.join(points, ["seqnames", "pos"], "left").select("query", "pos", F.coalesce("value", F.lit(0)).alias("value"))
+def dense(signal: DataFrame, queries: DataFrame, small: bool | None = None) -> DataFrame:
+    """query, pos, value for every base of queries(query, seqnames, start, end); bases without data are 0.
+
+    Only what the queries ask for is laid out base by base: the signal is clipped to them first.
+    """
+    hits = clipped(overlap_join(signal, queries, small=small), F.col("r.query").alias("query"), F.col("l.value").alias("value"))
+    kind = signal.schema["value"].dataType
+    none = queries.select("query", F.explode(F.sequence("start", "end")).alias("pos"), F.lit(0).cast(kind).alias("value"))
+    return hits.select("query", F.explode(F.sequence("start", "end")).alias("pos"), "value").union(none).groupBy("query", "pos").agg(F.sum("value").alias("value"))
+
+
+def split_ranges(df: DataFrame, *keys: str) -> DataFrame:
+    """Ranges by group: one row for each value of keys with its members, in order, as an array of structs."""
+    own = [c for c in df.columns if c not in keys]
+    order = [c for c in ("ord", "start", "end") if c in own]
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in own if c not in order]))).alias("members"))

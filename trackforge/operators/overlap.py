@@ -34,8 +34,11 @@ def _buckets(df: DataFrame, width: int) -> DataFrame:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, ignore_strand: bool = True, width: int = 4096, small: bool | None = None) -> DataFrame:
-    """Pairs of overlapping intervals; columns of the left side as l, of the right side as r."""
-    if is_small(right) if small is None else small:
+    """Pairs of overlapping intervals; columns of the left side as l, of the right side as r.
+
+    The right side is broadcast only if a count finds it small; small=False leaves even that out.
+    """
+    if small is not False and is_small(right):
         return left.alias("l").join(F.broadcast(right.alias("r")), _condition(ignore_strand))
     l, r = _buckets(left, width).alias("l"), _buckets(right, width).alias("r")
     own = F.col("l.bucket") == F.floor(F.greatest("l.start", "r.start") / width)
@@ -44,13 +47,17 @@ def overlap_join(left: DataFrame, right: DataFrame, ignore_strand: bool = True,
 
 def overlap_semi(left: DataFrame, right: DataFrame, ignore_strand: bool = False, width: int = 4096, small: bool | None = None) -> DataFrame:
     """Intervals of the left side that overlap any of the right side, each once."""
-    if is_small(right) if small is None else small:
+    if small is not False and is_small(right):
         return left.alias("l").join(F.broadcast(right.alias("r")), _condition(ignore_strand), "left_semi").select("l.*")
-    # equal rows overlap alike: one of each meets the buckets and comes back with its number
-    rows = left.groupBy(*left.columns).agg(F.count("*").alias("_n"))
-    hit = _buckets(rows, width).alias("l").join(_buckets(right, width).alias("r"), _condition(ignore_strand) & (F.col("l.bucket") == F.col("r.bucket")), "left_semi")
-    once = hit.select([F.col(f"l.{c}") for c in rows.columns]).distinct()
-    return once.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+    r = _buckets(right, width).alias("r")
+    on = _condition(ignore_strand) & (F.col("l.bucket") == F.col("r.bucket"))
+    first, last = F.floor(F.col("start") / width), F.floor(F.col("end") / width)
+    # most intervals lie in one bucket: they come out once by themselves
+    inside = left.where(first >= last).withColumn("bucket", first).alias("l").join(r, on, "left_semi").select(*[F.col(f"l.{c}") for c in left.columns])
+    # of the others, equal rows overlap alike: one of each meets the buckets and comes back with its number
+    rows = left.where(first < last).groupBy(*left.columns).agg(F.count("*").alias("_n"))
+    once = _buckets(rows, width).alias("l").join(r, on, "left_semi").select([F.col(f"l.{c}") for c in rows.columns]).distinct()
+    return inside.union(once.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n"))
 
 
 def clipped(pairs: DataFrame, *keep: str) -> DataFrame:

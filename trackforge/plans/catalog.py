@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import coverage as cov
 from ..operators import nest, summary
-from ..operators.lift import flip, lift_over
+from ..operators import genome
+from ..operators.lift import flip, lift_grouped, lift_over, lift_pairs, lift_pieces
 from ..operators.overlap import clipped, overlap_join, overlap_semi
-from ..sources import hubs
+from ..sources import gff, hubs, tracks, web
 from ..sources import lines as L
 
 FEATURES_SQL = """
@@ -60,7 +61,8 @@ def chain_blocks(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-WITH = f"with f as ({FEATURES_SQL}), q as ({QUERIES_SQL}), c as ({CHAIN_SQL})"
+# f1: features of a key of their own
+WITH = f"with f as ({FEATURES_SQL}), f1 as (select * from f qualify count(*) over (partition by grp, part, line) = 1), q as ({QUERIES_SQL}), c as ({CHAIN_SQL})"
 
 
 def query(name: str, sql: str | None):
@@ -142,16 +144,45 @@ def _(s, d):
     return lift_over(features(s, d), chain_blocks(s, d), "grp").groupBy("grp").agg(F.count("*").alias("pieces"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
 
 
-@query("liftover_pairs", ", x as (" + _LIFT.format(keep="f.grp, f.line,", where="true") + ") select a.grp, count(*) as n_pairs from x a join x b on a.grp = b.grp and a.line = 1 and b.line = 2 group by 1")
+@query("liftover_pairs", ", m as (select (grp * 1000000 + part * 10 + line) as ord, seqnames, \"start\" as a1, \"end\" as b1, greatest(\"start\" - 300, 1) as a2, \"end\" as b2 from f1), " + """p as (select m.ord, 1 as mate, c.to_name, m.a1 as s, m.b1 as e, c.* from m join c on m.seqnames = c.from_name and m.a1 <= c.from_start + c.width - 1 and c.from_start <= m.b1
+union all select m.ord, 2, c.to_name, m.a2, m.b2, c.* from m join c on m.seqnames = c.from_name and m.a2 <= c.from_start + c.width - 1 and c.from_start <= m.b2),
+y as (select ord, mate, case when reversed then 2 * from_start + width - 1 - least(e, from_start + width - 1) else greatest(s, from_start) end - "offset" as to_start from p)
+select m.ord, m.a1 as first_start, count(*) filter (mate = 1) as n_first, count(*) filter (mate = 2) as n_second, min(to_start) filter (mate = 2) as least_second from m left join y on y.ord = m.ord group by 1, 2""")
 def _(s, d):
-    x = lift_over(features(s, d).where("line in (1, 2)"), chain_blocks(s, d), "grp", "line")
-    n = x.groupBy("grp").agg(F.count_if(F.col("line") == 1).alias("a"), F.count_if(F.col("line") == 2).alias("b"))
-    return n.where("a > 0 and b > 0").select("grp", (F.col("a") * F.col("b")).alias("n_pairs"))
+    mate = lambda start: F.struct("seqnames", start.alias("start"), "end", "strand")
+    pairs = _numbered(s, d).select("ord", mate(F.col("start")).alias("first"), mate(F.greatest(F.col("start") - 300, F.lit(1))).alias("second"))
+    x = lift_pairs(pairs, chain_blocks(s, d))
+    return x.select("ord", F.col("first.start").alias("first_start"), F.size("to_first").cast("long").alias("n_first"), F.size("to_second").cast("long").alias("n_second"), F.array_min(F.col("to_second.start")).alias("least_second"))
 
 
-@query("strand_flip", "select translate(strand, '+-', '-+') as strand, count(*) as n from f group by 1")
+_KEY = "(f.grp * 1000000 + f.part * 10 + f.line)"
+_ORD = _KEY + " as ord,"
+_LIFT1 = _LIFT.replace("from f join", "from f1 f join")
+
+
+@query("liftover_unmapped", ", x as (" + _LIFT1.format(keep=_ORD, where="true") + ") select " + _KEY + """ as ord, f."start", x.seqnames as to_seqnames, x."start" as to_start, x."end" as to_end, x.strand as to_strand from f1 f left join x on x.ord = """ + _KEY)
+def _(s, d):
+    return lift_pieces(_numbered(s, d), chain_blocks(s, d)).select("ord", "start", "to_seqnames", "to_start", "to_end", "to_strand")
+
+
+@query("liftover_order", ", x as (" + _LIFT1.format(keep=_ORD + " c.from_start,", where="true") + """) select ord, cast(row_number() over (partition by ord order by from_start, seqnames, "start", "end") as int) as piece, "start" as to_start from x""")
+def _(s, d):
+    return lift_pieces(_numbered(s, d), chain_blocks(s, d)).where("piece > 0").select("ord", "piece", "to_start")
+
+
+@query("liftover_empty_groups", ", x as (" + _LIFT1.format(keep="f.grp,", where="true") + """) select f.grp, (select count(*) from x where x.grp = f.grp) as n from (select distinct grp from f1) f""")
+def _(s, d):
+    return lift_grouped(_numbered(s, d), chain_blocks(s, d), "grp").select("grp", F.size("pieces").cast("long").alias("n"))
+
+
+def _numbered(s, d) -> DataFrame:
+    key = (F.col("grp") * 1000000 + F.col("part") * 10 + F.col("line")).alias("ord")
+    return features(s, d).groupBy("grp", "part", "line").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*CORE, "score")]).where("n = 1").select(key, "grp", *CORE, "score")
+
+
+@query("strand_flip", "select grp, line, translate(strand, '+-', '-+') as strand from f")
 def _(s, d):
-    return features(s, d).groupBy(flip(F.col("strand")).alias("strand")).agg(F.count("*").alias("n"))
+    return features(s, d).select("grp", "line", flip(F.col("strand")).alias("strand"))
 
 
 # --- aggregations ------------------------------------------------------------------------------
@@ -257,14 +288,14 @@ def _(s, d):
     return L.bed(L.bed_lines(features(s, d).select("seqnames", "start", "end", F.lit("x").alias("name"), "score", "strand")), 6).where("score > 25").select(CORE)
 
 
-@query("bed12_scan", """select seqnames, "start", "end", strand, "start" as thick_start, "end" as thick_end, '#FF' || lpad(upper(hex(line)), 2, '0') || '01' as rgb, 2 as n_blocks, "end" - "start" as second_start from f where "end" > "start" """)
+@query("bed12_scan", """select seqnames, "start", "end", strand, "start" as thick_start, "end" as thick_end, '#FF' || lpad(upper(hex(line)), 2, '0') || '01' as rgb, case when "end" > "start" then 2 else 1 end as n_blocks, "end" - "start" as last_start from f""")
 def _(s, d):
-    f = features(s, d).where(F.col("end") > F.col("start"))
+    f, wide = features(s, d), F.col("end") > F.col("start")
     rgb = F.concat(F.lit("255,"), F.col("line").cast("string"), F.lit(",1"))
     w = (F.col("end") - F.col("start")).cast("string")
-    line = F.concat_ws("\t", "seqnames", (F.col("start") - 1).cast("string"), F.col("end").cast("string"), F.lit("x"), F.lit("0"), "strand", (F.col("start") - 1).cast("string"), F.col("end").cast("string"), rgb, F.lit("2"), F.lit("1,1,"), F.concat(F.lit("0,"), w, F.lit(",")))
+    line = F.concat_ws("\t", "seqnames", (F.col("start") - 1).cast("string"), F.col("end").cast("string"), F.lit("x"), F.lit("0"), "strand", (F.col("start") - 1).cast("string"), F.col("end").cast("string"), rgb, F.when(wide, "2").otherwise("1"), F.when(wide, "1,1,").otherwise("1,"), F.when(wide, F.concat(F.lit("0,"), w, F.lit(","))).otherwise("0,"))
     b = L.bed(f.select(line.alias("value")))
-    return b.select(*CORE, F.col("thick.start").alias("thick_start"), F.col("thick.end").alias("thick_end"), F.col("itemRgb").alias("rgb"), F.size("blocks").alias("n_blocks"), (F.col("blocks")[1]["start"] - 1).alias("second_start"))
+    return b.select(*CORE, F.col("thick.start").alias("thick_start"), F.col("thick.end").alias("thick_end"), F.col("itemRgb").alias("rgb"), F.size("blocks").alias("n_blocks"), (F.element_at("blocks", -1)["start"] - 1).alias("last_start"))
 
 
 @query("bedgraph_scan", 'select seqnames, "start", "end", cast(score as double) as score from f')
@@ -299,10 +330,10 @@ def _(s, d):
     return L.broad_peak(features(s, d).select(line.alias("value"))).select("seqnames", "start", "end", F.col("signalValue").alias("signal"))
 
 
-def _gff3(s, d) -> DataFrame:
+def _gff3(s, d, keep=()) -> DataFrame:
     attrs = F.concat(F.lit("ID=g"), F.col("grp").cast("string"), F.lit(";Note=a%2Cb+c;Alias=x"), F.col("line").cast("string"), F.lit(",y%20z;bare; Val=1;Val="), F.col("score").cast("string"))
     line = F.concat_ws("\t", "seqnames", F.lit("src"), F.when(F.col("line") == 1, "gene").otherwise("exon"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), F.when(F.col("strand") == "*", "?").otherwise(F.col("strand")), F.lit("."), attrs)
-    return features(s, d).select(line.alias("value"))
+    return features(s, d).select(line.alias("value"), *keep)
 
 
 @query("gff3_attrs", """select seqnames, "start", "end", strand, case when line = 1 then 'gene' else 'exon' end as type, concat('g', cast(grp as string)) as ID, 'a,b+c' as Note, cast(score as string) as Val from f""")
@@ -333,9 +364,10 @@ def _(s, d):
     return L.gff(_gff3(s, d), 3, ["ID", "Alias"]).select("ID", F.explode(X.values(F.col("Alias"))).alias("v"))
 
 
-@query("gff_limit", 'select seqnames, "start", "end", score from f order by seqnames, "start", "end", score limit 10')
+@query("gff_limit", 'select seqnames, "start", "end" from f where line = 2 order by grp, part, "start" limit 10')
 def _(s, d):
-    return features(s, d).select("seqnames", "start", "end", "score").orderBy("seqnames", "start", "end", "score").limit(10)
+    lines = _gff3(s, d, ("grp", "part", "start", "line")).withColumns({"file": F.lit("f"), "ord": F.struct("grp", "part", "start")}).where("line = 2")
+    return gff.read(lines.select("value", "file", "ord"), 3, tags=[], columns=["seqid", "start", "end"], nrows=10)
 
 
 def _orders(s, d) -> DataFrame:
@@ -356,10 +388,21 @@ def _(s, d):
     return L.wig(_orders(s, d).select(F.col("o_orderkey").cast("string").alias("file"), F.posexplode(F.array(decl, row(1), row(7))).alias("ord", "value")))
 
 
-@query("ucsc_tracks", """select cast(o_orderkey as string) as file, 'a b' as name, cast(2 as bigint) as n_lines from orders""")
+@query("ucsc_tracks", """select cast(o_orderkey as string) as file, 'a b' as name, '5' as moved, l as line from orders, (values ('chr1' || chr(9) || '0' || chr(9) || '5'), ('chr1' || chr(9) || '7' || chr(9) || '9')) v(l)""")
 def _(s, d):
     o = _orders(s, d).select(F.col("o_orderkey").cast("string").alias("file"), F.posexplode(F.array(F.lit('track type=bed name="a b" offset=5'), F.lit("chr1\t0\t5"), F.lit("chr1\t7\t9"))).alias("ord", "value"))
-    return L.ucsc(o).groupBy("file", "track_id").agg(F.first(F.col("track")["name"]).alias("name"), F.count("*").alias("n_lines")).drop("track_id")
+    return L.ucsc(o).select("file", F.col("track")["name"].alias("name"), F.col("track")["offset"].alias("moved"), F.col("value").alias("line"))
+
+
+@query("tracks_features", """select 'a b' as track, seqnames, "start" + 5 as "start", "end" + 5 as "end", cast(score as double) as score from f where line = 1 union all select 'g', seqnames, "start", "end", cast(score as double) / 2 from f where line = 2""")
+def _(s, d):
+    f = features(s, d)
+    place = F.concat_ws("\t", "seqnames", (F.col("start") - 1).cast("string"), F.col("end").cast("string"))
+    head = s.createDataFrame([(0, 'track name="a b" offset=5'), (2, 'track type=bedGraph name="g"')], "k int, value string").select("k", F.lit(0).cast("long").alias("at"), "value")
+    one = f.where("line = 1").select(F.lit(1).alias("k"), F.col("grp").alias("at"), F.concat_ws("\t", place, F.lit("x"), F.col("score").cast("string"), F.lit("+")).alias("value"))
+    two = f.where("line = 2").select(F.lit(3).alias("k"), F.col("grp").alias("at"), F.concat_ws(" ", F.translate(place, "\t", " "), (F.col("score") / 2).cast("string")).alias("value"))
+    lines = head.union(one).union(two).select("value", F.lit("f").alias("file"), (F.col("k").cast("long") * 2**40 + F.col("at")).alias("ord"))
+    return tracks.as_features(lines).select("track", "seqnames", "start", "end", "score")
 
 
 @query("chain_scan", """select 'chr' || cast(s_suppkey % 24 + 1 as string) as from_name, cast(t as bigint) as from_start, cast(w as int) as width, cast(o as bigint) as "offset", r as reversed from supplier, (values (101, 10, -100, false), (116, 20, -98, false)) v(t, w, o, r)""")
@@ -396,6 +439,40 @@ def _(s, d):
     return L.sam_lines(features(s, d).withColumn("cigar", F.concat(F.col("score").cast("string"), F.lit("M"))))
 
 
+@query("sam_tags", """select 'r' || cast(grp as string) || chr(9) || '99' || chr(9) || seqnames || chr(9) || cast("start" as string) || chr(9) || cast(line as string) || chr(9) || cast(score as string) || 'M' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' || chr(9) || '*' || chr(9) || 'NM:i:' || cast(line as string) || chr(9) || 'XZ:Z:z' as value from f""")
+def _(s, d):
+    f = features(s, d).select(*CORE, F.concat(F.col("score").cast("string"), F.lit("M")).alias("cigar"), F.concat(F.lit("r"), "grp").alias("qname"), F.lit(99).alias("flag"), F.col("line").alias("mapq"), F.col("line").alias("NM"), F.lit("z").alias("XZ"))
+    return L.sam_lines(f)
+
+
+@query("sam_pairs", """select 'p' || cast(grp as string) as name, seqnames, "start", 1 + case when strand = '-' then 16 else 0 end + 64 as flag, "start" + 500 as mpos from f union all
+select 'p' || cast(grp as string), seqnames, "start" + 500, 1 + case when strand = '-' then 32 else 0 end + 128, "start" from f""")
+def _(s, d):
+    a, b = F.struct("seqnames", "start", "end", "strand"), F.struct("seqnames", (F.col("start") + 500).alias("start"), (F.col("end") + 500).alias("end"), F.lit("+").alias("strand"))
+    return L.paired(features(s, d).select(F.concat(F.lit("p"), "grp").alias("name"), a.alias("first"), b.alias("second"))).select("name", "seqnames", "start", "flag", "mpos")
+
+
+@query("gff2_write_lines", """select seqnames || chr(9) || 'trackforge' || chr(9) || 'sequence_feature' || chr(9) || cast("start" as string) || chr(9) || cast("end" as string) || chr(9) || '.' || chr(9) || case strand when '*' then '.' else strand end || chr(9) || '.' || chr(9) || 'gene_id "g' || cast(grp as string) || '"; n ' || cast(line as string) as value from f""")
+def _(s, d):
+    return L.gff_lines(features(s, d).select(*CORE, F.concat(F.lit("g"), "grp").alias("gene_id"), F.col("line").alias("n")), ["gene_id", "n"], 2)
+
+
+@query("gff3_list_lines", """select case when line % 3 = 0 then 2 else 1 end as part, seqnames || chr(9) || 'trackforge' || chr(9) || 'sequence_feature' || chr(9) || cast("start" as string) || chr(9) || cast("end" as string) || chr(9) || '.' || chr(9) || '.' || chr(9) || '.' || case when line % 3 = 0 then '' else chr(9) || 'Parent=p%2C' || cast(grp as string) || ',.' end as value from f""")
+def _(s, d):
+    parent = F.when(F.col("line") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("p,"), "grp"), F.lit(None).cast("string")))
+    return gff.body_lines(features(s, d).select("seqnames", "start", "end", parent.alias("Parent")))
+
+
+@query("tab_separated_lines", """select seqnames || chr(9) || cast("start" as string) || chr(9) || cast("end" as string) || chr(9) || cast(score as string) as value from f union all select 'seqnames' || chr(9) || 'start' || chr(9) || 'end' || chr(9) || 'score'""")
+def _(s, d):
+    return L.tab_separated_lines(features(s, d).select("seqnames", "start", "end", "score")).select("value")
+
+
+@query("url_encode_except", "select p_partkey as k, 'chr%201%3B' || cast(p_size as string) || '%C3%A9|' as v from part")
+def _(s, d):
+    return _t(s, d, "part").select(F.col("p_partkey").alias("k"), X.url_encode_except(F.concat(F.lit("chr 1;"), F.col("p_size").cast("string"), F.lit("é|")), r"[a-zA-Z0-9.:^*$@!+_?|\-]").alias("v"))
+
+
 _PAIR = """concat_ws(chr(9), a.seqnames, cast(a."start" - 1 as string), cast(a."end" as string), a.seqnames, cast(a."end" + 9 as string), cast(a."end" + 20 as string), 'p' || cast(grp as string), cast(score as string), case strand when '*' then '.' else strand end, '.', cast(line as string))"""
 
 
@@ -443,33 +520,128 @@ def _(s, d):
     return nest.blocks(features(s, d).withColumn("blocks", b), "grp")
 
 
-@query("as_bed", """, g as (select grp, seqnames, strand, min("start") as "start", max("end") as "end", count(*) as n_blocks, cast(sum("end" - "start" + 1) as bigint) as widths from f group by 1, 2, 3) select cast(grp as string) || seqnames || strand as name, "start", "end", cast(n_blocks as int) as n_blocks, widths from g""")
+@query("as_bed", """, g as (select grp, seqnames, strand, min("start") as "start", max("end") as "end" from f group by 1, 2, 3),
+b as (select grp, seqnames, strand, string_agg(cast("start" as string) || '+' || cast("end" - "start" + 1 as string), ',' order by "start", "end") as blocks from f group by 1, 2, 3)
+select cast(g.grp as string) || g.seqnames || g.strand as name, g.seqnames, g."start", g."end", g.strand, b.blocks from g join b on b.grp = g.grp and b.seqnames = g.seqnames and b.strand = g.strand""")
 def _(s, d):
     f = features(s, d).withColumn("g", F.concat(F.col("grp").cast("string"), "seqnames", "strand"))
     b = nest.as_bed(f, "g")
-    return b.select("name", "start", "end", F.size("blocks").alias("n_blocks"), F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["width"]).alias("widths"))
+    return b.select("name", *CORE, F.array_join(F.transform("blocks", lambda x: F.concat((x["start"] + F.col("start") - 1).cast("string"), F.lit("+"), x["width"].cast("string"))), ",").alias("blocks"))
+
+
+@query("as_gff", """select min(seqnames) as seqnames, min("start") as "start", max("end") as "end", min(strand) as strand, 'mRNA' as type, 'mRNA' || cast(grp as string) as ID, cast(null as string) as Parent from f group by grp
+union all select seqnames, "start", "end", strand, 'exon', 'exon_' || cast(grp as string) || '_' || cast(row_number() over (partition by grp order by "start", "end", strand, seqnames) as string), 'mRNA' || cast(grp as string) from f""")
+def _(s, d):
+    return nest.as_gff(features(s, d), "grp")
+
+
+_PARTS = """, p as (select s_suppkey as t, i, 'c' as seqnames, case s_suppkey % 2 when 0 then '+' else '-' end as strand, cast(i * 100 + 1 as int) as "start", cast(i * 100 + 1 + s_suppkey % 7 as int) as "end" from supplier, generate_series(0, 3) g(i)),
+o as (select *, "end" - "start" + 1 as w, coalesce(sum("end" - "start" + 1) over (partition by t order by case strand when '-' then -"start" else "start" end rows between unbounded preceding and 1 preceding), 0) as before from p)"""
+
+
+@query("reading_frame", """, r as (select grp, line, "start", "end", cast(coalesce(sum("end" - "start" + 1) over (partition by grp order by "start", "end" rows between unbounded preceding and 1 preceding), 0) % 3 as int) as frame from f) select grp, "start", "end", frame from r""")
+def _(s, d):
+    return nest.reading_frame(features(s, d), "grp").select("grp", "start", "end", "frame")
+
+
+def _transcripts(s, d) -> DataFrame:
+    k, i = F.col("s_suppkey"), F.col("i")
+    x = _t(s, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    return x.select(k.alias("t"), F.lit("c").alias("seqnames"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"), (i * 100 + 1).cast("int").alias("start"), (i * 100 + 1 + k % 7).cast("int").alias("end"))
 
 
-@query("as_gff", """select 'mRNA' as type, cast(count(distinct grp) as bigint) as n, count(distinct grp) as ids, cast(0 as bigint) as with_parent from f union all select 'exon', count(*), count(*), count(*) from f""")
+@query("as_gtf", _PARTS + """, e as (select t, strand, "start", "end", w, before, unnest(generate_series(1, w)) as k from o), n as (select t, sum(w) as n from o group by 1),
+b as (select e.t, e.strand, before + k as nth, case strand when '-' then "end" - k + 1 else "start" + k - 1 end as pos, "start" as part, n.n from e join n on n.t = e.t)
+select cast(t as string) as transcript_id, 'start_codon' as type, cast(min(pos) as int) as "start", cast(max(pos) as int) as "end", cast((min(nth) - 1) % 3 as int) as frame from b where nth <= 3 group by t, part
+union all select cast(t as string), 'stop_codon', cast(min(pos) as int), cast(max(pos) as int), cast((min(nth) - greatest(any_value(n) - 2, 1)) % 3 as int) from b where nth > n - 3 group by t, part
+union all select cast(t as string), 'CDS', "start", "end", cast(before % 3 as int) from o""")
 def _(s, d):
-    g = nest.as_gff(features(s, d), "grp")
-    return g.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("ID").alias("ids"), F.count("Parent").alias("with_parent"))
+    return gff.as_gtf(_transcripts(s, d), "t").select("transcript_id", "type", "start", "end", "frame")
 
 
-@query("reading_frame", """, r as (select grp, cast(coalesce(sum("end" - "start" + 1) over (partition by grp order by "start", "end" rows between unbounded preceding and 1 preceding), 0) % 3 as int) as frame from f) select frame, count(*) as n from r group by 1""")
+def _seqinfo(s, d) -> DataFrame:
+    """Sequences chr1 to chr20 and chrX, in reverse order of number."""
+    n = s.range(1, 22).select(F.col("id").cast("int").alias("n"))
+    return n.select(F.when(F.col("n") == 21, "chrX").otherwise(F.concat(F.lit("chr"), F.col("n").cast("string"))).alias("seqnames"), (F.col("n") * 100000).cast("long").alias("seqlength"), F.lit("g1").alias("genome"), (21 - F.col("n")).alias("seq_rank"))
+
+
+_INFO = """, i as (select case n when 21 then 'chrX' else 'chr' || cast(n as string) end as seqnames, cast(n * 100000 as bigint) as seqlength, 'g1' as genome, cast(21 - n as int) as seq_rank from generate_series(1, 21) t(n))"""
+
+
+@query("sort_seq_start", _INFO + """ select cast(row_number() over (partition by f.seqnames order by "start", "end", grp, line, part, score, strand) as bigint) as place, f.seqnames, "start", "end", seq_rank from f left join i on i.seqnames = f.seqnames""")
+def _(s, d):
+    f = features(s, d).select("seqnames", "start", "end", "grp", "line", "part", "score", "strand")
+    return genome.placed_by_level(f, _seqinfo(s, d)).select("place", "seqnames", "start", "end", "seq_rank")
+
+
+@query("seqinfo_antijoin", _INFO + " select q.query, q.seqnames from q where not exists (select 1 from i where i.seqnames = q.seqnames)")
+def _(s, d):
+    return genome.unknown(ranges(s, d), _seqinfo(s, d)).select("query", "seqnames")
+
+
+@query("seqinfo_known", _INFO + ' select q.query, q.seqnames, q."start" from q where exists (select 1 from i where i.seqnames = q.seqnames)')
+def _(s, d):
+    return genome.known(ranges(s, d), _seqinfo(s, d), "drop").select("query", "seqnames", "start")
+
+
+@query("seqinfo_merge", _INFO + ", o as (select distinct seqnames from f) select coalesce(i.seqnames, o.seqnames) as seqnames, i.seqlength, i.genome from i full join o on o.seqnames = i.seqnames")
+def _(s, d):
+    o = features(s, d).select("seqnames").distinct().select("seqnames", F.lit(None).cast("long").alias("seqlength"), F.lit(None).cast("string").alias("genome"), F.lit(0).alias("seq_rank"))
+    return genome.merge_seqinfo(_seqinfo(s, d), o).select("seqnames", "seqlength", "genome")
+
+
+@query("seqlevels_union", _INFO + ", l as (select seqnames, 0 as t, min(query) as nth from q where query <= 5 group by 1 union all select seqnames, 1, 21 - seq_rank from i) select seqnames, cast(row_number() over (order by min(t * 1000 + nth)) as int) as rank from l group by 1")
+def _(s, d):
+    a = ranges(s, d).where("query <= 5").withColumn("ord", F.col("query"))
+    x = genome.union_levels(a, _seqinfo(s, d).withColumn("ord", 21 - F.col("seq_rank")))
+    return x.select("seqnames", F.row_number().over(Window.orderBy("seq_rank")).alias("rank"))  # a few names
+
+
+@query("selection", _INFO + """ select seqnames, 1 as "start", cast(seqlength as int) as "end", '*' as strand from i where seqnames in ('chr2', 'chrX')""")
+def _(s, d):
+    return genome.selection(_seqinfo(s, d), ["chr2", "chrX"])[0]
+
+
+@query("ranges_hull", """select seqnames, cast(min("start") as int) as "start", cast(max("end") as int) as "end", '*' as strand from q where seqnames = 'chr3' group by 1""")
 def _(s, d):
-    return nest.reading_frame(features(s, d), "grp").groupBy("frame").agg(F.count("*").alias("n"))
+    return genome.normalise(ranges(s, d).where("seqnames = 'chr3'"), 1)
 
 
-@query("sort_seq_start", 'select cast(row_number() over (partition by seqnames order by "start", "end", strand, score) as int) as place, seqnames, "start", "end" from f')
+@query("ranges_capped", """select seqnames, "start", "end", '*' as strand from q order by query limit 1000""")
 def _(s, d):
-    w = Window.partitionBy("seqnames").orderBy("start", "end", "strand", "score")
-    return features(s, d).select(F.row_number().over(w).alias("place"), "seqnames", "start", "end")
+    return genome.normalise(ranges(s, d).withColumn("ord", F.col("query")), 1000)
 
 
-@query("seqinfo_antijoin", "select q.query, q.seqnames from q where not exists (select 1 from c where c.from_name = q.seqnames)")
+@query("names_filter", """select query, name from (select query, 'n' || cast(query % 10 as string) as name from q) where name in ('n3', 'n7')""")
 def _(s, d):
-    return ranges(s, d).join(chain_blocks(s, d).select(F.col("from_name").alias("seqnames")).distinct(), "seqnames", "left_anti").select("query", "seqnames")
+    return genome.names_filter(ranges(s, d).select("query", F.concat(F.lit("n"), (F.col("query") % 10).cast("string")).alias("name")), ["n3", "n7"])
+
+
+@query("offset_shift", """select query, "start" + 25 as "start", "end" + 25 as "end" from q""")
+def _(s, d):
+    return genome.shifted(ranges(s, d), 25).select("query", "start", "end")
+
+
+@query("padded_union", """select query, "start", cast(null as int) as score from q union all select null, "start", score from f""")
+def _(s, d):
+    return genome.padded(ranges(s, d).select("query", "start"), features(s, d).select("start", "score"))
+
+
+@query("letter_counts", """select c as letter, count(*) as n, c in ('A', 'C', 'G', 'T', 'N') as is_valid from (select unnest(string_split(upper(l_returnflag || 'acgtn' || l_linestatus), '')) as c from lineitem) group by 1""")
+def _(s, d):
+    return genome.letters(_t(s, d, "lineitem").select(F.concat("l_returnflag", F.lit("acgtn"), "l_linestatus").alias("seq")))
+
+
+@query("split_ranges", """select strand, seqnames, count(*) as n, min("start") as first from f group by 1, 2""")
+def _(s, d):
+    x = nest.split_ranges(features(s, d).select("strand", "seqnames", "start", "end"), "strand", "seqnames")
+    return x.select("strand", "seqnames", F.size("members").cast("long").alias("n"), F.col("members")[0]["start"].alias("first"))
+
+
+@query("json_rows", """select event_id, cast(event_id as int) % 7 as bin, 'n' || cast(event_id as string) as name from events""")
+def _(s, d):
+    text = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("event_id"), (F.col("event_id") % 7).alias("bin"), F.concat(F.lit("n"), "event_id").alias("name"))).alias("gold")).alias("data")))
+    return web.rows_table(s, _t(s, d, "events").select(text.alias("value")), "$.data.gold", "event_id long, bin int, name string")
 
 
 @query("genome_ranges", """select seqnames, 1 as "start", max("end") as "end", '*' as strand from f group by 1""")
@@ -495,13 +667,29 @@ def _(s, d):
     return cov.joined_runs(cov.coverage(features(s, d)))
 
 
-@query("graph_type", """, s as (select seqnames, "start", lag("start") over (partition by seqnames order by "start") as before from f) select seqnames, count(distinct "start" - before) as n_steps, round(avg("start" - before), 6) as mean_step from s group by 1""")
+@query("graph_type", """, g as (select 'all' as k, "start", "end" - "start" + 1 as w from f union all select 'one', "start", 5 from (select distinct "start" from f) union all select 'even', "start", 5 from (select unnest(generate_series(1, 2000, 500)) as "start")),
+t as (select k, w, "start" - lag("start") over (partition by k order by "start", w) as step from g)
+select k, case when min(w) = max(w) and (min(step) = max(step) or (3 < count(*) and avg(step) < 100)) then 'wig' else 'bedGraph' end as type from t group by 1""")
 def _(s, d):
-    w = Window.partitionBy("seqnames").orderBy("start")
-    x = features(s, d).withColumn("step", F.col("start") - F.lag("start").over(w))
+    f = features(s, d).select("seqnames", "start", "end")
+    even = s.range(1, 2001, 500).select(F.lit("c").alias("seqnames"), F.col("id").cast("int").alias("start"))
+    one = f.select(F.lit("c").alias("seqnames"), "start").distinct()
+    rows = [("all", cov.graph_type(f)), *((k, cov.graph_type(x.withColumn("end", F.col("start") + 4))) for k, x in (("one", one), ("even", even)))]
+    return s.createDataFrame(rows, "k string, type string")
+
+
+@query("step_statistics", """, s as (select seqnames, "start", lag("start") over (partition by seqnames order by "start") as before from f) select seqnames, count(distinct "start" - before) as n_steps, round(avg("start" - before), 6) as mean_step from s group by 1""")
+def _(s, d):
+    x = cov.with_previous(features(s, d), ["seqnames"], ["end"]).withColumn("step", F.col("start") - F.col("_previous.start"))
     return x.groupBy("seqnames").agg(F.count_distinct("step").alias("n_steps"), F.round(F.avg("step"), 6).alias("mean_step"))
 
 
+@query("zoom_again", """, z as (select seqnames, w as win, least("end", (w + 1) * 4800) - greatest("start" - 1, w * 4800) as n, score as v from f, lateral (select unnest(generate_series(("start" - 1) // 4800, ("end" - 1) // 4800)) as w))
+select seqnames, cast(win as bigint) as win, cast(sum(n) as bigint) as valid, min(v) as min_value, max(v) as max_value, cast(sum(n * v) as bigint) as sum_value, cast(sum(n * v * v) as bigint) as sum_squares from z group by 1, 2""")
+def _(s, d):
+    return cov.zoom_again(cov.zoom(_signal(s, d), 1200), 4800, 1200)
+
+
 @query("revcomp", "select l_orderkey as k, reverse(translate(l_returnflag || 'ACGTN' || l_linestatus, 'ACGTacgt', 'TGCAtgca')) as seq from lineitem")
 def _(s, d):
     return _t(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), X.reverse_complement(F.concat("l_returnflag", F.lit("ACGTN"), "l_linestatus")).alias("seq"))

@@ -2,13 +2,14 @@
 
 A scan walks the index on the driver (one entry for about a thousand values), and deals the data blocks that it needs
 out to tasks, which inflate them and clip their intervals to the ranges asked for. Intervals are 1-based and closed,
-values 32-bit floats. Files must lie where driver and executors see them. The writer makes files without zoom levels;
-summaries here are always computed from the values.
+values 32-bit floats. Files must lie where driver and executors see them. The writer adds zoom levels, whose windows
+lie on a fixed grid; summaries here are always computed from the values.
 """
 
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.coverage import zoom, zoom_again, zoom_reductions
+
 # Fixed values of the format: signatures of a file, its tree of names and its index; kinds of data blocks.
 SIGNATURE, NAMES, INDEX = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 BEDGRAPH, VARIABLE, FIXED = 1, 2, 3
@@ -36,13 +39,17 @@ def merged(ranges) -> list[tuple[str, int, int]]:
 class BigWig:
     """The header, names and index of an open file."""
 
+    signature, kind = SIGNATURE, "BigWig"
+
     def __init__(self, path: str):
         self.f = open(path.removeprefix("file://"), "rb")
         head = self.f.read(64)
-        self.order = next((o for o in "<>" if len(head) == 64 and struct.unpack(o + "I", head[:4])[0] == SIGNATURE), None)
+        self.order = next((o for o in "<>" if len(head) == 64 and struct.unpack(o + "I", head[:4])[0] == self.signature), None)
         if self.order is None:
-            raise ValueError(f"{path}: not a BigWig file")
-        _, _, self.zooms, names, self.data, self.index, _, _, _, self.summary, self.inflated, _ = struct.unpack(self.order + "IHHQQQHHQQIQ", head)
+            raise ValueError(f"{path}: not a {self.kind} file")
+        _, _, zooms, names, self.data, self.index, self.fields, self.defined, self.described, self.summary, self.inflated, self.extension = struct.unpack(self.order + "IHHQQQHHQQIQ", head)
+        #: (reduction, place of the data, place of the index) of each zoom level.
+        self.zooms = [(r, d, i) for r, _, d, i in (self._get("IIQQ") for _ in range(zooms))]
         self.names: dict[str, tuple[int, int]] = {}  # number and length
         self.f.seek(names)
         magic, _, self._key, _, _, _ = self._get("IIIIQQ")
@@ -70,12 +77,18 @@ class BigWig:
             else:
                 self._name_node(rest[0])
 
-    def blocks(self, ranges: list[tuple[int, int, int]] | None) -> list[tuple[int, int]]:
-        """(offset, size) of the data blocks that overlap ranges(number, start from 0, end), or of all."""
-        self.f.seek(self.index)
+    def total(self) -> dict[str, float]:
+        """The summary of the whole file."""
+        self.f.seek(self.summary)
+        return dict(zip(("valid", "min_value", "max_value", "sum_value", "sum_squares"), self._get("Qdddd")))
+
+    def blocks(self, ranges: list[tuple[int, int, int]] | None, index: int | None = None) -> list[tuple[int, int]]:
+        """(offset, size) of the data blocks that overlap ranges(number, start from 0, end), or of all; index: that of a zoom level."""
+        index = self.index if index is None else index
+        self.f.seek(index)
         if self._get("I")[0] != INDEX:
             raise ValueError("damaged index")
-        found, todo = [], [self.index + 48]
+        found, todo = [], [index + 48]
         while todo:
             self.f.seek(todo.pop())
             leaf, _, n = self._get("BBH")
@@ -104,17 +117,35 @@ def seqinfo(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "seqnames string, seqlength long, seq_rank int")
 
 
-def scan(spark: SparkSession, path: str, which: list[tuple[str, int, int]] | None = None) -> DataFrame:
+def _wanted(w: BigWig, which, missing: str) -> list[tuple[int, int, int]] | None:
+    """Numbers and ranges from 0. missing: "error" or "warn" for unknown sequences."""
+    if which is None:
+        return None
+    if unknown := {r[0] for r in which} - set(w.names):
+        if missing == "error":
+            raise ValueError(f"unknown sequences: {sorted(unknown)}")
+        warnings.warn(f"ranges of unknown sequences are left out: {sorted(unknown)}", stacklevel=3)
+    return [(w.names[n][0], a - 1, b) for n, a, b in merged(r for r in which if r[0] in w.names)]
+
+
+def _read_blocks(spark: SparkSession, blocks: list[tuple[int, int]], run, schema: str) -> DataFrame:
+    ways = max(1, min(len(blocks) // 64, 10_000))
+    return spark.createDataFrame(blocks, "at long, size long").repartitionByRange(ways, "at").mapInArrow(run, schema)
+
+
+def scan(spark: SparkSession, path: str, which: list[tuple[str, int, int]] | None = None, columns: list[str] | None = None, missing: str = "error") -> DataFrame:
     """seqnames, start, end, score of a file, clipped to `which`; ranges that overlap or touch count as one.
 
-    Unknown sequences are an error. For many ranges join the whole scan with a table of them.
+    columns: ["score"], or [] for places alone, whose values then don't leave the workers. Unknown sequences are an
+    error, or with missing="warn" left out. For many ranges join the whole scan with a table of them.
     """
+    if columns not in (None, [], ["score"]):
+        raise ValueError("columns are score or none")
     with BigWig(path) as w:
-        if which is not None and (unknown := {r[0] for r in which} - set(w.names)):
-            raise ValueError(f"unknown sequences: {sorted(unknown)}")
-        wanted = None if which is None else [(w.names[n][0], a - 1, b) for n, a, b in merged(which)]
+        wanted = _wanted(w, which, missing)
         blocks, order, packed = w.blocks(wanted), w.order, w.inflated > 0
         name_of = {number: name for name, (number, _) in w.names.items()}
+    scored = columns != []
 
     def run(batches):
         with open(path.removeprefix("file://"), "rb") as f:
@@ -127,11 +158,41 @@ def scan(spark: SparkSession, path: str, which: list[tuple[str, int, int]] | Non
                         hit = (a < y) & (b > x)
                         if hit.any():
                             s, e = np.maximum(a[hit], x) + 1, np.minimum(b[hit], y)
-                            yield pa.RecordBatch.from_arrays([pa.array([name_of[number]] * len(s)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(v[hit])], ["seqnames", "start", "end", "score"])
+                            cols = [pa.array([name_of[number]] * len(s)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))]
+                            yield pa.RecordBatch.from_arrays(cols + [pa.array(v[hit])] * scored, ["seqnames", "start", "end", "score"][: 3 + scored])
 
-    ways = max(1, min(len(blocks) // 64, 10_000))
-    table = spark.createDataFrame(blocks, "at long, size long")
-    return table.repartitionByRange(ways, "at").mapInArrow(run, SIGNAL)
+    return _read_blocks(spark, blocks, run, SIGNAL if scored else SIGNAL.rpartition(",")[0])
+
+
+def scan_files(spark: SparkSession, paths: list[str], which: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """file, then as scan: several files as one table."""
+    parts = [scan(spark, p, which).select(F.lit(p).alias("file"), "*") for p in paths]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def scan_zoom(spark: SparkSession, path: str, level: int, reader: type[BigWig] = BigWig) -> DataFrame:
+    """seqnames, start, end, valid, min_value, max_value, sum_value, sum_squares of a zoom level, from 0 on."""
+    with reader(path) as w:
+        blocks, order, packed = w.blocks(None, w.zooms[level][2]), w.order, w.inflated > 0
+        name_of = {number: name for name, (number, _) in w.names.items()}
+    kind = np.dtype([(c, order + t) for c, t in zip("nabclhsq", ("u4", "u4", "u4", "u4", "f4", "f4", "f4", "f4"))])
+
+    def run(batches):
+        with open(path.removeprefix("file://"), "rb") as f:
+            for batch in batches:
+                for at, size in zip(batch.column("at").to_pylist(), batch.column("size").to_pylist()):
+                    f.seek(at)
+                    body = f.read(size)
+                    r = np.frombuffer(zlib.decompress(body) if packed else body, kind)
+                    yield pa.RecordBatch.from_arrays([pa.array([name_of[int(n)] for n in r["n"]]), pa.array((r["a"] + 1).astype(np.int32)), pa.array(r["b"].astype(np.int32)), pa.array(r["c"].astype(np.int64)), *(pa.array(r[c].astype(np.float64)) for c in "lhsq")], [x.split()[0] for x in ZOOM.split(", ")])
+
+    return _read_blocks(spark, blocks, run, ZOOM)
+
+
+ZOOM = "seqnames string, start int, end int, valid long, min_value double, max_value double, sum_value double, sum_squares double"
 
 
 # --- writing -----------------------------------------------------------------------------------
@@ -208,36 +269,123 @@ def _index(leaves: list[tuple[int, int, int, int, int, int]], at: int, slot: int
     return b"".join(out)
 
 
-def write(df: DataFrame, path: str, lengths: dict[str, int], slot: int = 1024) -> None:
-    """Writes df(seqnames, start, end, score) as one file; lengths of all sequences are needed.
+def _zoom_blocks(numbers: dict[str, int], lengths: dict[str, int], reduction: int, slot: int, compress: bool):
+    """mapInArrow over sorted windows: one row for each block of a zoom level."""
 
-    Tasks sort, check and compress; the driver appends their blocks one at a time and keeps an index entry of each.
-    Errors: overlaps, features outside a sequence, scores that are null or not finite, unknown sequences.
+    def run(batches):
+        for batch in batches:
+            names = batch.column("seqnames").to_pylist()
+            win, valid = batch.column("win").to_numpy(), batch.column("valid").to_numpy()
+            values = [batch.column(c).cast(pa.float64()).to_numpy() for c in ("min_value", "max_value", "sum_value", "sum_squares")]
+            edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                for i in range(lo, hi, slot):
+                    j = min(i + slot, hi)
+                    r = np.zeros(j - i, [(c, t) for c, t in zip("nabclhsq", ("<u4", "<u4", "<u4", "<u4", "<f4", "<f4", "<f4", "<f4"))])
+                    r["n"], r["a"], r["b"], r["c"] = numbers[names[i]], win[i:j] * reduction, np.minimum((win[i:j] + 1) * reduction, lengths[names[i]]), valid[i:j]
+                    for c, v in zip("lhsq", values):
+                        r[c] = v[i:j]
+                    row = names[i], int(r["a"][0]), int(r["b"][-1]), zlib.compress(r.tobytes()) if compress else r.tobytes(), r.nbytes, int(valid[i:j].sum()), float(values[0][i:j].min()), float(values[1][i:j].max()), float(values[2][i:j].sum()), float(values[3][i:j].sum())
+                    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [x.split()[0] for x in BLOCKS.split(", ")])
+
+    return run
+
+
+def append_blocks(f, blocks: DataFrame, numbers: dict[str, int]):
+    """Writes blocks one at a time; their index entries, the largest one's size inflated, and their sums."""
+    leaves, largest, stats = [], 0, [0, np.inf, -np.inf, 0.0, 0.0]
+    for b in blocks.toLocalIterator():
+        leaves.append((numbers[b["seqnames"]], b["first"], numbers[b["seqnames"]], b["last"], f.tell(), len(b["body"])))
+        f.write(b["body"])
+        largest = max(largest, b["size"])
+        stats = [stats[0] + b["bases"], min(stats[1], b["low"]), max(stats[2], b["high"]), stats[3] + b["total"], stats[4] + b["squares"]]
+    return leaves, largest, stats if leaves else [0, 0.0, 0.0, 0.0, 0.0]
+
+
+def assemble(path: str, signature: int, blocks: DataFrame, lengths: dict[str, int], slot: int, zooms: list[tuple[int, DataFrame]], fields: tuple[int, int, bytes] = (0, 0, b""), summary: list | None = None, compress: bool = True) -> None:
+    """Writes a file: header, zoom directory, summary, description, names, blocks, index, zoom levels.
+
+    zooms: reduction and windows(seqnames, win, ...) of each level. fields: number of fields, of standard ones among them,
+    description. compress: whether blocks are.
     """
     numbers = {n: i for i, n in enumerate(sorted(lengths, key=str.encode))}
-    rows = df.select(F.col("seqnames"), F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double")).orderBy("seqnames", "start")
-    blocks = rows.mapInArrow(_encode(numbers, lengths, slot), BLOCKS)
     key = max((len(n.encode()) for n in numbers), default=1)
     names = struct.pack("<IIIIQQ", NAMES, max(len(numbers), 1), key, 8, len(numbers), 0) + struct.pack("<BBH", 1, 0, len(numbers))
     names += b"".join(struct.pack(f"<{key}sII", n.encode(), i, lengths[n]) for n, i in numbers.items())
-    data = 64 + 40 + len(names)
-    leaves, largest, stats, before = [], 0, [0, np.inf, -np.inf, 0.0, 0.0], None
+    at_summary = 64 + 24 * len(zooms)
+    at_text = at_summary + 40
+    text = fields[2] + b"\0" if fields[2] else b""
+    data = at_text + len(text) + len(names)
     with open(path.removeprefix("file://"), "w+b") as f:
-        f.write(bytes(data + 4))
-        for b in blocks.toLocalIterator():
-            number = numbers[b["seqnames"]]
-            if before and before[0] == number and b["first"] < before[1]:
-                raise ValueError(f"{b['seqnames']}: features overlap")
-            before = number, b["last"]
-            leaves.append((number, b["first"], number, b["last"], f.tell(), len(b["body"])))
-            f.write(b["body"])
-            largest = max(largest, b["size"])
-            stats = [stats[0] + b["bases"], min(stats[1], b["low"]), max(stats[2], b["high"]), stats[3] + b["total"], stats[4] + b["squares"]]
+        f.write(bytes(data + 8))
+        leaves, largest, stats = append_blocks(f, blocks, numbers)
+        for a, b in zip(leaves, leaves[1:]):
+            if signature == SIGNATURE and a[0] == b[0] and b[1] < a[3]:
+                raise ValueError("features overlap")
         index = f.tell()
         f.write(_index(leaves, index, slot))
+        places = []
+        for reduction, windows in zooms:
+            rows = windows.orderBy("seqnames", "win").mapInArrow(_zoom_blocks(numbers, lengths, reduction, 512, compress), BLOCKS)
+            at = f.tell()
+            f.write(bytes(4))
+            some, large, _ = append_blocks(f, rows, numbers)
+            largest = max(largest, large)
+            there = f.tell()
+            f.write(_index(some, there, 512))
+            places.append((reduction, 0, at, there))
         f.seek(0)
-        f.write(struct.pack("<IHHQQQHHQQIQ", SIGNATURE, 4, 0, 104, data, index, 0, 0, 0, 64, max(largest, 1), 0))
-        f.write(struct.pack("<Qdddd", *(stats if leaves else [0, 0.0, 0.0, 0.0, 0.0])) + names + struct.pack("<I", len(leaves)))
+        f.write(struct.pack("<IHHQQQHHQQIQ", signature, 4, len(zooms), at_text + len(text), data, index, fields[0], fields[1], at_text if text else 0, at_summary, max(largest, 1) if compress else 0, 0))
+        f.write(b"".join(struct.pack("<IIQQ", *p) for p in places))
+        f.write(struct.pack("<Qdddd", *(summary or stats)) + text + names + struct.pack("<Q", len(leaves)))
+
+
+def write(df: DataFrame, path: str, lengths: dict[str, int], slot: int = 1024, zooms: list[int] | None = None) -> None:
+    """Writes df(seqnames, start, end, score) as one file; lengths of all sequences are needed.
+
+    Tasks sort, check and compress; the driver appends their blocks one at a time and keeps an index entry of each.
+    zooms: reductions of the zoom levels; if None they follow from the mean width of the features. Errors: overlaps,
+    features outside a sequence, scores that are null or not finite, unknown sequences.
+    """
+    numbers = {n: i for i, n in enumerate(sorted(lengths, key=str.encode))}
+    rows = df.select(F.col("seqnames"), F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double"))
+    if zooms is None:
+        r = rows.agg(F.count("*").alias("n"), F.avg(F.col("end") - F.col("start") + 1).alias("w")).first()
+        zooms = zoom_reductions(r["w"], r["n"]) if r["n"] else []
+    blocks = rows.orderBy("seqnames", "start").mapInArrow(_encode(numbers, lengths, slot), BLOCKS)
+    assemble(path, SIGNATURE, blocks, lengths, slot, zoom_levels(rows.withColumnRenamed("score", "value"), zooms))
+
+
+def zoom_levels(signal: DataFrame, reductions: list[int]) -> list[tuple[int, DataFrame]]:
+    """Windows of each level, from a finer one where that divides it, else from the signal."""
+    out: list[tuple[int, DataFrame]] = []
+    for r in sorted(reductions):
+        finer = [(q, z) for q, z in out if r % q == 0]
+        out.append((r, zoom_again(finer[-1][1], r, finer[-1][0]) if finer else zoom(signal, r)))
+    return out
+
+
+def write_dense(df: DataFrame, path: str, step: int = 1) -> None:
+    """Writes df(seqnames, values): the values of all bases of each sequence, whose length is theirs; nulls have no value."""
+    rows = df.select("seqnames", F.posexplode("values").alias("i", "score"))
+    lengths = {r["seqnames"]: r["n"] * step for r in df.select("seqnames", F.size("values").alias("n")).collect()}
+    write(rows.where("score is not null").select("seqnames", (F.col("i") * step + 1).alias("start"), ((F.col("i") + 1) * step).alias("end"), "score"), path, lengths)
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """Writes runs(seqnames, start, end, value) that tile each sequence; a sequence is as long as its last run's end."""
+    lengths = {r["seqnames"]: r["n"] for r in runs.groupBy("seqnames").agg(F.max("end").cast("long").alias("n")).collect()}
+    write(runs.select("seqnames", "start", "end", F.col("value").alias("score")), path, lengths)
+
+
+def write_list(df: DataFrame, path: str) -> None:
+    """Writes a list of any kind: dense values, runs or features with seqlength, by its columns."""
+    if "values" in df.columns:
+        return write_dense(df, path)
+    if "value" in df.columns:
+        return write_runs(df, path)
+    raise ValueError("a list has values or runs of value")
 
 
 def from_wig(lines: DataFrame, path: str, lengths: dict[str, int], clip: bool = False) -> None:

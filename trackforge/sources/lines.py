@@ -26,11 +26,15 @@ BED = ["name", "score", "strand", "thickStart", "thickEnd", "itemRgb", "blockCou
 
 def _fields(lines: DataFrame, pattern: str = "\t") -> DataFrame:
     keep = (F.trim("value") != "") & ~F.col("value").rlike("^(#|track|browser)")
-    return lines.where(keep).withColumn("f", F.split("value", pattern))
+    by_tabs = F.split("value", "\t")
+    return lines.where(keep).withColumn("f", F.when(F.contains("value", F.lit("\t")), by_tabs).otherwise(F.split(F.trim("value"), r"\s+")) if pattern == "\t" else F.split("value", pattern))
 
 
 def _int(i: int) -> Column:
-    return F.get("f", F.lit(i)).try_cast("int")
+    """A coordinate: anything but a 32-bit integer is an error that shows the line."""
+    x = F.trim(F.get("f", F.lit(i)))
+    n = x.try_cast("int")
+    return F.when(n.isNotNull() | x.isNull() | (x == "."), n).otherwise(F.raise_error(F.concat(F.lit(f"column {i + 1} is no 32-bit integer: "), F.col("value"))).cast("int"))
 
 
 def _text(i: int) -> Column:
@@ -38,7 +42,33 @@ def _text(i: int) -> Column:
 
 
 def _double(i: int) -> Column:
-    return F.get("f", F.lit(i)).try_cast("double")
+    return F.trim(F.get("f", F.lit(i))).try_cast("double")
+
+
+def bed_columns(lines: DataFrame) -> int:
+    """Columns of the first data line: tabs part them, or runs of blanks if there are no tabs."""
+    first = _fields(lines).select("value")
+    first = first.limit(1) if "ord" not in lines.columns else _fields(lines).orderBy("file", "ord").select("value").limit(1)
+    rows = first.collect()
+    return len(rows[0]["value"].split("\t") if "\t" in rows[0]["value"] else rows[0]["value"].split()) if rows else 3
+
+
+def read_bed(lines: DataFrame, extra: dict[str, str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """BED whose number of columns its first data line tells; the last of them are `extra`.
+
+    names: columns that are wanted beside the place: of BED's own (thick and blocks as one each) and of extra; strand is *
+    unless it is among them. Unknown names are an error, as are more extra columns than there are.
+    """
+    n = bed_columns(lines) - len(extra or {})
+    if n < 3 or set(extra or {}) & {"seqnames", "start", "end", "width", "strand"}:
+        raise ValueError("no such extra columns")
+    whole = bed(lines, min(n, 12), extra)
+    if names is None:
+        return whole
+    if set(names) - set(whole.columns):
+        raise ValueError(f"unknown columns: {sorted(set(names) - set(whole.columns))}")
+    strand = F.col("strand") if "strand" in names else F.lit("*").alias("strand")
+    return whole.select("seqnames", "start", "end", strand, *[c for c in names if c not in ("seqnames", "start", "end", "strand")])
 
 
 def bed(lines: DataFrame, columns: int = 12, extra: dict[str, str] | None = None, *keep: str) -> DataFrame:
@@ -77,8 +107,24 @@ def broad_peak(lines: DataFrame) -> DataFrame:
     return bed(lines, 6, BROAD)
 
 
-def bed15(lines: DataFrame, experiments: list[str]) -> DataFrame:
-    """BED15: one column of scores for each experiment; -10000 is null."""
+def bed15_names(lines: DataFrame) -> list[str]:
+    """The experiments of lines(value, file, ord): the names of the track line in the order of the first row's ids.
+
+    Rows whose ids are others than the first's are an error.
+    """
+    line = lines.where(F.col("value").startswith("track")).orderBy("file", "ord").limit(1).collect()
+    ids = _fields(lines).select(F.regexp_replace(F.get("f", F.lit(13)), ",$", "").alias("ids"))
+    found = [r["ids"] for r in ids.distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError("rows have different experiments")
+    at = [int(x) for x in found[0].split(",")] if found and found[0] else []
+    named = line[0]["value"].partition('expNames="')[2].partition('"')[0].rstrip(",").split(",") if line else []
+    return [named[i] if i < len(named) and named[i] else f"exp{i + 1}" for i in at]
+
+
+def bed15(lines: DataFrame, experiments: list[str] | None = None) -> DataFrame:
+    """BED15: one column of scores for each experiment, named by the track line unless names are given; -10000 is null."""
+    experiments = bed15_names(lines) if experiments is None else experiments
     f = _fields(lines)
     scores = F.split(F.get("f", F.lit(14)), ",")
     value = lambda i: F.nullif(F.get(scores, F.lit(i)).try_cast("double"), F.lit(-10000.0))
@@ -92,12 +138,11 @@ def bedpe(lines: DataFrame) -> DataFrame:
 
 def gff(lines: DataFrame, version: int = 3, tags: list[str] | None = None, filters: dict[str, list[str]] | None = None) -> DataFrame:
     """GFF: the nine columns; attributes as an array of (tag, value), or the given tags as columns. Filters apply to raw text."""
-    names = ["seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes"]
-    f = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
-    for name, allowed in (filters or {}).items():
-        f = f.where(F.get("f", F.lit(names.index(name))).isin(allowed))
+    from .gff import _fields, checked_int
+
+    f = _fields(lines, filters)
     a = (gff3_attributes if version == 3 else gff2_attributes)(F.get("f", F.lit(8)))
-    out = [F.get("f", F.lit(0)).alias("seqnames"), _text(1).alias("source"), _text(2).alias("type"), _int(3).alias("start"), _int(4).alias("end"), _double(5).alias("score"), strand_of(F.get("f", F.lit(6))).alias("strand"), _int(7).alias("phase")]
+    out = [F.get("f", F.lit(0)).alias("seqnames"), _text(1).alias("source"), _text(2).alias("type"), checked_int(F.get("f", F.lit(3)), "start").alias("start"), checked_int(F.get("f", F.lit(4)), "end").alias("end"), _double(5).alias("score"), strand_of(F.get("f", F.lit(6))).alias("strand"), checked_int(F.get("f", F.lit(7)), "phase").alias("phase")]
     if version == 1:
         return f.select(*out, _text(8).alias("group"))
     if tags is None:
@@ -111,27 +156,46 @@ def gff_tags(lines: DataFrame, version: int = 3) -> DataFrame:
     return x.groupBy(F.col("a.tag").alias("tag")).agg(F.count("*").alias("n"), F.max(F.contains("a.value", F.lit(","))).alias("has_comma"))
 
 
-def gff_pragmas(lines: DataFrame) -> DataFrame:
-    return lines.where(F.col("value").startswith("##"))
-
-
 def _carried(lines: DataFrame, mark: Column) -> DataFrame:
-    """Lines with the last declaration before them in their file, and their place after it."""
-    w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    x = lines.withColumn("section", F.sum(mark.cast("long")).over(w)).withColumn("decl", F.last(F.when(mark, F.col("value")), ignorenulls=True).over(w))
-    return x.withColumn("place", F.row_number().over(Window.partitionBy("file", "section").orderBy("ord")) - 2).where(~mark)
-
+    """Lines with the last declaration before them in their file, the number of their section and their place in it.
 
-def wig(lines: DataFrame) -> DataFrame:
-    """WIG of lines(value, file, ord): variableStep and fixedStep sections."""
+    Lines are counted by the parts of their file (splits as they were read, or stretches of ord), and what a part needs
+    of those before it, their numbers of lines and sections and the last declaration, is handed on from part to part.
+    """
+    part = F.col("ord.file_block_start") if lines.schema["ord"].dataType.typeName() == "struct" else F.floor(F.col("ord") / (1 << 16))
+    inside = Window.partitionBy("file", "_part").orderBy("ord")
+    x = lines.withColumns({"_part": part, "_mark": mark}).withColumn("_n", F.row_number().over(inside))
+    here = F.when(F.col("_mark"), F.struct(F.col("_n").cast("long").alias("n"), F.col("value").alias("decl")))
+    until = inside.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_last": F.last(here, ignorenulls=True).over(until), "_k": F.sum(F.col("_mark").cast("long")).over(until)})
+    of = x.groupBy("file", "_part").agg(F.count("*").alias("rows"), F.sum(F.col("_mark").cast("long")).alias("marks"), F.max(here).alias("l"))
+    before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    of = of.withColumns({"_rows": F.coalesce(F.sum("rows").over(before), F.lit(0)), "_marks": F.coalesce(F.sum("marks").over(before), F.lit(0))})
+    of = of.withColumn("_far", F.last(F.when(F.col("l").isNotNull(), F.struct((F.col("_rows") + F.col("l.n")).alias("n"), F.col("l.decl").alias("decl"))), ignorenulls=True).over(before))
+    x = x.join(of.select("file", "_part", "_rows", "_marks", "_far"), ["file", "_part"])
+    at = F.coalesce(F.col("_rows") + F.col("_last.n"), F.col("_far.n"), F.lit(0))
+    x = x.withColumns({"section": F.col("_marks") + F.col("_k"), "decl": F.coalesce("_last.decl", "_far.decl"), "place": (F.col("_rows") + F.col("_n") - at - 1).cast("int")})
+    return x.where(~F.col("_mark")).drop("_part", "_mark", "_n", "_last", "_k", "_rows", "_marks", "_far")
+
+
+def wig(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """WIG of lines(value, file, ord): variableStep and fixedStep sections; lines without a declaration are bedGraph.
+
+    names: sequences that are wanted; sections of others are left out before their data are parsed.
+    """
     body = lines.where(~F.col("value").rlike("^(#|track|browser)") & (F.trim("value") != ""))
     x = _carried(body, F.contains("value", F.lit("chrom=")))
     of = lambda k: F.regexp_extract("decl", rf"\b{k}=(\S+)", 1)
+    v = F.split(F.trim("value"), r"\s+")
+    bare = F.col("decl").isNull()
+    if names is not None:
+        x = x.where(F.when(bare, v[0]).otherwise(of("chrom")).isin(names))
     span = F.coalesce(of("span").try_cast("int"), F.lit(1))
     fixed = F.col("decl").startswith("fixedStep")
-    start = F.when(fixed, of("start").try_cast("int") + F.col("place") * F.coalesce(of("step").try_cast("int"), F.lit(1))).otherwise(F.split("value", r"\s+")[0].try_cast("int"))
-    score = F.when(fixed, F.trim("value")).otherwise(F.get(F.split("value", r"\s+"), F.lit(1))).try_cast("double")
-    return x.select(of("chrom").alias("seqnames"), start.alias("start"), (start + span - 1).alias("end"), score.alias("score"))
+    start = F.when(bare, F.get(v, F.lit(1)).try_cast("int") + 1).when(fixed, of("start").try_cast("int") + F.col("place") * F.coalesce(of("step").try_cast("int"), F.lit(1))).otherwise(v[0].try_cast("int"))
+    end = F.when(bare, F.get(v, F.lit(2)).try_cast("int")).otherwise(F.col("start") + span - 1)
+    score = F.when(bare, F.get(v, F.lit(3))).when(fixed, F.trim("value")).otherwise(F.get(v, F.lit(1))).try_cast("double")
+    return x.withColumn("start", start).select(F.when(bare, v[0]).otherwise(of("chrom")).alias("seqnames"), "start", end.alias("end"), score.alias("score"))
 
 
 def ucsc(lines: DataFrame) -> DataFrame:
@@ -199,15 +263,9 @@ def bedgraph_lines(df: DataFrame) -> DataFrame:
 
 def gff_lines(df: DataFrame, tags: list[str], version: int = 3, source: str = "trackforge") -> DataFrame:
     """GFF lines; attributes that are null are left out."""
-    from ..functions.text import url_encode
+    from .gff import body_lines
 
-    one = (lambda t: F.concat(F.lit(f"{t}="), url_encode(F.trim(F.col(t).cast("string")), ";=&,"))) if version == 3 else (lambda t: F.concat(F.lit(f'{t} "'), F.col(t).cast("string"), F.lit('"')))
-    attrs = F.array_join(F.filter(F.array(*[one(t) for t in tags]), lambda x: x.isNotNull()), ";" if version == 3 else "; ")
-    kind = F.coalesce(F.col("type"), F.lit("sequence_feature")) if "type" in df.columns else F.lit("sequence_feature")
-    score = _str(F.col("score")) if "score" in df.columns else F.lit(".")
-    phase = _str(F.col("phase")) if "phase" in df.columns else F.lit(".")
-    strand = F.when(F.col("strand") == "*", ".").otherwise(F.col("strand"))
-    return df.select(F.concat_ws("\t", F.col("seqnames"), F.lit(source), kind, F.col("start").cast("string"), F.col("end").cast("string"), score, strand, phase, F.nullif(attrs, F.lit(""))).alias("value"))
+    return body_lines(df.drop("source", "group"), version, source, tags).select("value")
 
 
 def bed15_lines(df: DataFrame, experiments: list[str]) -> DataFrame:
@@ -241,8 +299,10 @@ def wig_lines(df: DataFrame, kind: str = "auto") -> DataFrame:
     """
     if kind not in ("auto", "fixedStep", "variableStep"):
         raise ValueError(kind)
-    w = Window.partitionBy("seqnames").orderBy("start")
-    x = df.withColumns({"_step": F.col("start") - F.lag("start").over(w), "_clash": F.col("start") <= F.lag("end").over(w), "_span": F.col("end") - F.col("start") + 1})
+    from ..operators.coverage import with_previous
+
+    p = F.col("_previous")
+    x = with_previous(df, ["seqnames"], ["end"]).withColumns({"_step": F.col("start") - p["start"], "_clash": F.col("start") <= p["end"], "_span": F.col("end") - F.col("start") + 1})
     of = x.groupBy("seqnames").agg(
         F.min("start").alias("_first"), F.min("_span").alias("_least"), F.max("_span").alias("_most"), F.coalesce(F.min("_step"), F.lit(1)).alias("_by"), F.coalesce(F.min("_step") == F.max("_step"), F.lit(True)).alias("_even"), F.coalesce(F.max("_clash"), F.lit(False)).alias("_bad")
     )
@@ -258,10 +318,73 @@ def wig_lines(df: DataFrame, kind: str = "auto") -> DataFrame:
     return of.select("seqnames", F.lit(-1).cast("long").alias("place"), F.col("_head").alias("value")).unionByName(body)
 
 
+def _filled(df: DataFrame, name: str, filler: Column | str) -> Column:
+    """A column as text, the filler where it is null or missing."""
+    fill = F.lit(filler) if isinstance(filler, str) else filler
+    return F.coalesce(F.col(name).cast("string"), fill) if name in df.columns else fill
+
+
+def sam_tags(df: DataFrame) -> list[Column]:
+    """Tags XX:type:value of the columns with names of two letters: i, f or Z by their type; other types are left out with a warning."""
+    import warnings
+
+    kinds = {"integer": "i", "long": "i", "short": "i", "byte": "i", "double": "f", "float": "f", "string": "Z"}
+    out = []
+    for f in df.schema:
+        if len(f.name) == 2:
+            if (k := kinds.get(f.dataType.typeName())) is None:
+                warnings.warn(f"{f.name}: no tag of type {f.dataType.simpleString()}", stacklevel=3)
+            else:
+                out.append(F.concat(F.lit(f"{f.name}:{k}:"), F.coalesce(F.col(f.name).cast("string"), F.lit("NA"))))
+    return out
+
+
 def sam_lines(df: DataFrame) -> DataFrame:
-    """SAM lines of alignments, with defaults for what is missing."""
-    flag = F.when(F.col("strand") == "-", 16).otherwise(0).cast("string")
-    return df.select(F.concat_ws("\t", _name(df), flag, F.col("seqnames"), F.col("start").cast("string"), F.lit("255"), F.col("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*")).alias("value"))
+    """SAM lines of alignments, with defaults for what is missing or null; columns of two letters are tags."""
+    flag = F.when(F.col("strand") == "-", "16").otherwise("0")
+    name = _name(df) if "qname" not in df.columns else _filled(df, "qname", "*")
+    return df.select(
+        F.concat_ws("\t", name, _filled(df, "flag", flag), F.col("seqnames"), F.col("start").cast("string"), _filled(df, "mapq", "255"), F.col("cigar"), _filled(df, "mrnm", "*"), _filled(df, "mpos", "0"), _filled(df, "isize", "0"), _filled(df, "seq", "*"), _filled(df, "qual", "*"), *sam_tags(df)).alias("value")
+    )
+
+
+def sam_header(seqinfo: DataFrame) -> DataFrame:
+    """@SQ lines of sequences whose length is known, in their order."""
+    genome = F.coalesce(F.concat(F.lit("\tAS:"), "genome"), F.lit("")) if "genome" in seqinfo.columns else F.lit("")
+    line = F.concat(F.lit("@SQ\tSN:"), "seqnames", F.lit("\tLN:"), F.col("seqlength").cast("string"), genome)
+    return seqinfo.where("seqlength is not null").select("seq_rank", line.alias("value"))
+
+
+def pair_flags(strand: Column, mate_strand: Column, first: Column) -> Column:
+    """Flags of an alignment in a pair."""
+    return (F.lit(1) + F.when(strand == "-", 16).otherwise(0) + F.when(mate_strand == "-", 32).otherwise(0) + F.when(first, 64).otherwise(128)).cast("int")
+
+
+def paired(df: DataFrame) -> DataFrame:
+    """Alignments of pairs(first, second, name): both mates with flag, mrnm and mpos from the other."""
+    mates = F.explode(F.array(F.struct(F.lit(True).alias("is_first"), F.col("first").alias("own"), F.col("second").alias("mate")), F.struct(F.lit(False).alias("is_first"), F.col("second").alias("own"), F.col("first").alias("mate"))))
+    x = df.select(*([F.col("name")] if "name" in df.columns else [F.col("ord").cast("string").alias("name")]), mates.alias("m"))
+    return x.select("name", "m.own.*", pair_flags(F.col("m.own.strand"), F.col("m.mate.strand"), F.col("m.is_first")).alias("flag"), F.col("m.mate.seqnames").alias("mrnm"), F.col("m.mate.start").alias("mpos"))
+
+
+def sam(lines: DataFrame) -> DataFrame:
+    """Alignments of SAM lines: qname, flag, seqnames, start, end, strand, mapq, cigar, mate's place, isize, seq, qual, tags by name."""
+    f = lines.where((F.trim("value") != "") & ~F.col("value").startswith("@")).withColumn("f", F.split("value", "\t"))
+    tags = F.map_from_entries(F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(1))), lambda x: F.struct(F.substr(x, F.lit(1), F.lit(2)).alias("key"), F.substr(x, F.lit(6)).alias("value"))))
+    tags = F.when(F.size("f") > 11, tags).otherwise(F.create_map().cast("map<string,string>"))
+    flag = _int(1)
+    return f.select(_text0(0).alias("qname"), flag.alias("flag"), _text0(2).alias("seqnames"), _int(3).alias("start"), (_int(3) + cigar_width(F.get("f", F.lit(5))) - 1).alias("end"), F.when(flag.bitwiseAND(16) > 0, "-").otherwise("+").alias("strand"), _int(4).alias("mapq"), _text0(5).alias("cigar"), _text0(6).alias("mrnm"), _int(7).alias("mpos"), _int(8).alias("isize"), _text0(9).alias("seq"), _text0(10).alias("qual"), tags.alias("tags"))
+
+
+def _text0(i: int) -> Column:
+    x = F.get("f", F.lit(i))
+    return F.when(x != "*", x)
+
+
+def cigar_width(cigar: Column) -> Column:
+    """Bases of the reference that an alignment takes up."""
+    parts = F.regexp_extract_all(cigar, F.lit("(\\d+)[MDN=X]"), F.lit(1))
+    return F.aggregate(parts, F.lit(0), lambda a, x: a + x.cast("int"))
 
 
 def _name(df: DataFrame) -> Column:
@@ -272,5 +395,35 @@ def fasta_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("seq")).alias("value"))
 
 
+def tab_separated(lines: DataFrame, names: list[str] | None = None, seqnames: int = 1, start: int = 2, end: int = 3, header: bool = False, comment: str = "#") -> DataFrame:
+    """Intervals of tab-separated lines by the places of their columns from 1; the others follow as text, named by `names` or V1, V2, ....
+
+    header: each file's first line names the columns.
+    """
+    body = lines.where((F.trim("value") != "") & ~F.col("value").startswith(comment)) if comment else lines.where(F.trim("value") != "")
+    if header:
+        first = body.groupBy("file").agg(F.min("ord").alias("_first"))
+        body = body.join(first, "file")
+        if names is None:
+            top = body.where("ord = _first").limit(1).collect()
+            names = top[0]["value"].split("\t") if top else None
+        body = body.where("ord > _first")
+    n = len(names) if names else None
+    if n is None:
+        top = body.limit(1).collect()
+        n = len(top[0]["value"].split("\t")) if top else 3
+        names = [f"V{i + 1}" for i in range(n)]
+    f = body.withColumn("f", F.split("value", "\t"))
+    rest = [F.get("f", F.lit(i)).alias(names[i]) for i in range(n) if i + 1 not in (seqnames, start, end)]
+    return f.select(F.get("f", F.lit(seqnames - 1)).alias("seqnames"), _int(start - 1).alias("start"), _int(end - 1).alias("end"), F.lit("*").alias("strand"), *rest)
+
+
+def tab_separated_lines(df: DataFrame, header: bool = True) -> DataFrame:
+    """part, value: rows as tab-separated text, nulls as NA, in the order of part; the names first if header."""
+    cols = [c for c in df.columns if c not in ("ord", "width")]
+    rows = df.select(F.lit(1).alias("part"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in cols]).alias("value"))
+    return df.sparkSession.createDataFrame([(0, "\t".join(cols))], "part int, value string").union(rows) if header else rows
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "error") -> None:
     lines.select("value").write.mode(mode).text(path)
