@@ -221,12 +221,12 @@ class TrackHub:
 
     def __init__(self, folder: str):
         self.folder = folder
-        self.hub = read_stanzas(_load(f"{folder}/hub.txt"), "hub")[0]
+        self.hub = {k: v for x in read_stanzas(_load(f"{folder}/hub.txt")) for k, v in x.items()}
         self.genomes = read_stanzas(_load(f"{folder}/{self.hub['genomesFile']}"), "genome")
 
     @classmethod
     def create(cls, folder: str, hub: dict[str, str], genomes: list[dict[str, str]]) -> TrackHub:
-        hub = {"genomesFile": "genomes.txt"} | hub
+        hub = hub | {"genomesFile": hub.get("genomesFile", "genomes.txt")}
         _store(f"{folder}/hub.txt", write_stanzas([hub]))
         _store(f"{folder}/{hub['genomesFile']}", write_stanzas(genomes))
         return cls(folder)
