@@ -441,19 +441,44 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean(toxic == np.array([r.toxic == 1 for r in rows])) > 0.97
 
 
-def test_secret_forest(spark, docs, odd, empty):
-    every = secret_scan.labelled_findings(spark)
-    part = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
-    model = secret_scan.forest(every.where(~part))
+def _predicted(model, findings):
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="features").transform(secret_scan.with_features(every.where(part)))
-    right = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
-    assert right > 0.95
-    found = {r.candidate for r in secret_scan.scan(docs).where("is_secret").collect()}
-    planted = {m for r in docs.collect() for m in re.findall(r'token = "([0-9a-f]{40})"', r.text)}
-    assert planted <= found
-    assert secret_scan.scan(empty).count() == 0 and secret_scan.scan(odd).count() >= 0
+    rows = VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="features").transform(secret_scan.with_features(findings, BPE))
+    return model.transform(rows).groupBy("shape", "label").agg(F.avg("prediction").alias("found")).collect()
+
+
+def test_secret_forest(spark, docs, odd, empty):
+    every = secret_scan.labelled_findings(spark, BPE)
+    part = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
+    model = secret_scan.forest(every.where(~part), BPE)
+    rows = _predicted(model, every.where(part))
+    right = np.mean([r.found if r.label else 1 - r.found for r in rows])
+    assert right > 0.9
+    # shapes that no training finding has
+    held = {r["shape"]: r.found if r.label else 1 - r.found for r in _predicted(model, secret_scan.labelled_findings(spark, BPE, 2000, secret_scan.HELD_OUT))}
+    assert set(held) == set(secret_scan.HELD_OUT) and np.mean(list(held.values())) > 0.85
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.candidate for r in secret_scan.scan(more, BPE).where("is_secret").collect()}
+    planted = {m for r in more.collect() for m in re.findall(r'token = "([0-9a-f]{40})"', r.text)}
+    assert planted and planted <= found
+    assert secret_scan.scan(empty, BPE).count() == 0
+    assert {r.doc_id for r in secret_scan.scan(odd, BPE).collect()} <= {None, *range(9)}
+
+
+def test_secret_candidates(spark):
+    rows = ["set password = hunter2!x now", 'passphrase: "correct-horse-battery-staple",', "key AbCdEfGhIjKlMnOp here", "a plain-word-of-some-length here", "token=abcDEF123+/xyz987_q", "the password is wrong", "Authorization: Bearer abcdefgh.ijkl", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.candidate) for r in secret_scan.candidates(df).collect()}
+    assert got == {(0, "hunter2!x"), (1, "correct-horse-battery-staple"), (2, "AbCdEfGhIjKlMnOp"), (4, "token=abcDEF123+/xyz987_q"), (6, "abcdefgh.ijkl")}
+
+
+def test_dictionary_coverage_and_pairs(spark):
+    words = ["window", "xqzvkj", "windowtable", "qwindowq"]
+    df = spark.createDataFrame([("", w, w) for w in words], "before string, word string, candidate string")
+    got = {r.candidate: (r.covered, r.pairs) for r in secret_scan.with_features(df, BPE).collect()}
+    assert got["window"][0] == 1 and got["xqzvkj"][0] == 0 and got["windowtable"][0] == 1 and got["qwindowq"][0] == 0.75
+    assert got["window"][1] > 0.5 > got["xqzvkj"][1]
 
 
 def test_pipeline(spark):
