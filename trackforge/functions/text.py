@@ -49,6 +49,12 @@ def attribute(attributes: Column, tag: str) -> Column:
     return F.try_element_at(F.filter(attributes, lambda x: x["tag"] == tag), F.lit(-1))["value"]
 
 
+def gff3_attribute(c: Column, tag: str) -> Column:
+    """Value of a tag of GFF3 attributes, of several the last, found without taking the others apart; null if it is not there."""
+    pattern = rf"(?s)^(?:.*;)? *\Q{tag}\E=([^;]*)"
+    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1))
+
+
 def values(c: Column) -> Column:
     """A multi-valued attribute: split at commas, then decoded; null is the empty array."""
     return F.coalesce(F.transform(F.split(c, ","), url_decode), F.array().cast("array<string>"))

@@ -333,7 +333,8 @@ def _(s, d):
 def _gff3(s, d, keep=()) -> DataFrame:
     attrs = F.concat(F.lit("ID=g"), F.col("grp").cast("string"), F.lit(";Note=a%2Cb+c;Alias=x"), F.col("line").cast("string"), F.lit(",y%20z;bare; Val=1;Val="), F.col("score").cast("string"))
     line = F.concat_ws("\t", "seqnames", F.lit("src"), F.when(F.col("line") == 1, "gene").otherwise("exon"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), F.when(F.col("strand") == "*", "?").otherwise(F.col("strand")), F.lit("."), attrs)
-    return features(s, d).select(line.alias("value"), *keep)
+    # through a generator: a line is built once, as one that is read is, and not again for each of its uses
+    return features(s, d).select(F.explode(F.array(line)).alias("value"), *keep)
 
 
 @query("gff3_attrs", """select seqnames, "start", "end", strand, case when line = 1 then 'gene' else 'exon' end as type, concat('g', cast(grp as string)) as ID, 'a,b+c' as Note, cast(score as string) as Val from f""")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import attribute, gff2_attributes, gff3_attributes, hex_to_rgb, null_dot, rgb_to_hex, strand_of, track_line
+from ..functions.text import attribute, gff2_attributes, gff3_attribute, gff3_attributes, hex_to_rgb, null_dot, rgb_to_hex, strand_of, track_line
 from ..operators.nest import fold_blocks
 
 
@@ -147,6 +147,8 @@ def gff(lines: DataFrame, version: int = 3, tags: list[str] | None = None, filte
         return f.select(*out, _text(8).alias("group"))
     if tags is None:
         return f.select(*out, a.alias("attributes"))
+    if version == 3:
+        return f.select(*out, *[gff3_attribute(F.get("f", F.lit(8)), t).alias(t) for t in tags])
     return f.withColumn("a", a).select(*out, *[attribute(F.col("a"), t).alias(t) for t in tags])
 
 
