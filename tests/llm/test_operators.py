@@ -484,9 +484,17 @@ def test_dictionary_coverage_and_pairs(spark):
 def test_pipeline(spark):
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, SF)
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
     assert len(corpus_pipeline.STAGES) == 5
+    rows = corpus_pipeline.run(spark, SF).collect()
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r.doc_id for r in rows}
+    assert kept and kept <= {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    toxic = [d for d, (_, t) in labels.items() if t]
+    assert sum(d in kept for d in toxic) <= 0.1 * len(toxic)
+    bins = Counter()
+    for r in rows:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 2048 and len(bins) <= sum(bins.values()) // 2048 + 2
 
 
 def test_pipeline_stages_on_odd_rows(spark, odd, empty):
@@ -497,6 +505,7 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
             out = stage(spark, df, SF)
             assert out.columns == df.columns, name
             assert out.count() <= df.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, df, SF).select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
 
 
 def test_entries():
