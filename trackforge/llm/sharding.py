@@ -5,8 +5,8 @@ however large it is; a group above an even share then has its shard to itself as
 
 Groups are dealt to tasks by hash. Each task starts with one partial partition a group (all of it in one of k
 subsets) and combines the two of largest spread again and again, oppositely ordered, until one is left: a map
-from group to subset with k sums. The driver then does the same with one partial partition a task; it sees
-nothing but k sums of each.
+from group to subset with k sums. Tasks do the same with `fan` of these, k sums of each, level by level until no more
+than `fan` are left, which one task combines.
 
 Null text: no bytes, a group with other nulls. Empty text: likewise by itself. Very long texts: groups like others.
 Repeated rows: one group. Ties of size go by the hash of the text. Empty table: no rows. Other columns, whatever their
@@ -65,7 +65,42 @@ def _partition(shards: int):
     return run
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, groups_per_task: int = 50_000) -> DataFrame:
+def _level(shards: int):
+    """Combines partial partitions given as rows (part, subset, total): where each subset ends, and what that holds."""
+
+    def run(t: pa.Table) -> pa.Table:
+        part, subset, total = (t.column(c).to_numpy() for c in ("part", "subset", "total"))
+        at, row = np.unique(part, return_inverse=True)
+        starts = np.zeros((len(at), shards), np.int64)
+        starts[row, subset] = total
+        sums, ends = differencing(list(starts))
+        end = np.concatenate(ends).astype(np.int32)
+        columns = [np.full(len(end), t.column("up")[0].as_py()), np.repeat(at, shards), np.tile(np.arange(shards, dtype=np.int32), len(at)), end, sums[end]]
+        return pa.table([pa.array(c) for c in columns], names=["up", "part", "subset", "end", "total"])
+
+    return run
+
+
+def ends_of(sums: DataFrame, parts: int, shards: int, fan: int) -> DataFrame:
+    """(part, subset, shard) for the partial partitions sums(part, subset, total), numbered from 0 to below parts."""
+    trail = None
+    while True:
+        last = parts <= fan
+        up = F.lit(0) if last else F.floor(F.col("part") / fan)
+        made = sums.withColumn("up", up.cast("long")).groupBy("up").applyInArrow(_level(shards), "up long, part long, subset int, end int, total long")
+        made = materialise(made, "level")
+        step = made.select(F.col("part").alias("mid"), F.col("subset").alias("mid_subset"), "up", "end")
+        if trail is None:
+            trail = step.select(F.col("mid").alias("part"), F.col("mid_subset").alias("subset"), "up", "end")
+        else:
+            trail = trail.withColumnsRenamed({"up": "mid", "end": "mid_subset"}).join(step, ["mid", "mid_subset"]).drop("mid", "mid_subset")
+        if last:
+            return trail.select("part", "subset", F.col("end").alias("shard"))
+        sums = made.groupBy(F.col("up").alias("part"), F.col("end").alias("subset")).agg(F.first("total").alias("total"))
+        parts = -(-parts // fan)
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 16, groups_per_task: int = 50_000, fan: int = 1024) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -82,15 +117,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, groups_per_task: int = 50_
     parts = max(1, -(-n // groups_per_task), min(12, n // 1000))
     pieces = groups.withColumn("part", F.pmod(F.col("grp2"), F.lit(parts)))
     placed = materialise(pieces.groupBy("part").applyInArrow(_partition(shards), "part long, grp long, grp2 long, subset int, total long"), "placed", drop=(groups,))
-    sums = placed.groupBy("part", "subset").agg(F.first("total").alias("total")).collect()
-    at = sorted({r["part"] for r in sums})
-    starts = {p: np.zeros(shards, np.int64) for p in at}
-    for r in sums:
-        starts[r["part"]][r["subset"]] = r["total"]
-    ends = differencing([starts[p] for p in at])[1] if at else []
-    final = [(int(p), s, int(e[s])) for p, e in zip(at, ends) for s in range(shards)]
-    final = spark.createDataFrame(final, "part long, subset int, shard int")
-    placed = placed.join(F.broadcast(final), ["part", "subset"]).select("grp", "grp2", "shard")
+    sums = placed.groupBy("part", "subset").agg(F.first("total").alias("total"))
+    ends = ends_of(sums, parts, shards, fan)
+    placed = placed.join(F.broadcast(ends) if parts <= fan else ends, ["part", "subset"]).select("grp", "grp2", "shard")
     return with_slots(rows.join(placed, ["grp", "grp2"]).drop("grp", "grp2")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
