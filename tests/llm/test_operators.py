@@ -256,6 +256,26 @@ def test_token_files(spark, docs, odd, empty):
         assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
 
 
+def test_token_files_of_a_frequent_id(spark):
+    """A third of the rows have one doc_id; it fills several buckets, and the order of doc_ids holds."""
+    df = spark.range(600).selectExpr("case when id % 3 = 0 then 77 when id % 3 = 1 then null else id end as doc_id", "concat('t ', id) as text")
+    folder = common.shared_dir(spark, "test")
+    files = token_files.write_files(df, BPE, 1, folder, file_ids=100, bucket_bytes=200)
+    assert files.where("first = 77").select("bucket").distinct().count() > 3
+    got = sorted(token_files.read_files(spark, folder).collect(), key=lambda r: r.start)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and len(ids) == 600
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    want = [(str(r.doc_id), len(x), zlib.crc32(x.tobytes())) for r in df.collect() for x in [encoded(r.text, 1)]]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+
+
+def test_buckets_follow_the_order_of_ids():
+    ids = np.array([1, 5, 5, 5, 5, 6, 9, 10])
+    assert token_files.bucket_of(ids, np.array([5, 5, 5, 9]), 0).tolist() == [0, 2, 3, 1, 2, 3, 4, 4]
+    assert token_files.bucket_of(ids, np.array([], np.int64), 0).tolist() == [0] * 8
+
+
 def test_maxscore(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
@@ -385,6 +405,18 @@ def test_equal_texts_stay_together(spark):
     assert {r.n for r in got} == {1} and sum(r.rows for r in got) == 400
 
 
+def test_sharding_over_several_levels(docs):
+    plain = sharding.shard_by_bytes(docs).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    rows = sharding.shard_by_bytes(docs, groups_per_task=40, fan=3).collect()
+    size = Counter()
+    for r in rows:
+        size[r.shard] += r.size
+    assert len(rows) == docs.count() and sum(size.values()) == sum(r.n for r in plain)
+    assert max(size.values()) - min(size.values()) < max(r.size for r in rows)
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_differencing_ends():
     rng = np.random.default_rng(2)
     starts = [np.append(x, [0, 0, 0]) for x in rng.integers(1, 1000, 200)]

@@ -12,7 +12,7 @@ The ranks' table is a file of its own (ids by rank, u32). Files are written to a
 task that runs twice leaves one whole file.
 
 Null and empty texts: the end id alone. Texts of any length are encoded whole. Repeated rows: each is written. Null doc_id: before all others.
-Ties of doc_id: in order of their length, then their ids. Empty table: no files, no rows. Other columns, whatever
+Ties of doc_id: in any order; a doc_id that many rows share, null or not, has as many buckets as its rows fill. Empty table: no files, no rows. Other columns, whatever
 their names, are ignored.
 """
 
@@ -78,16 +78,28 @@ def unpack_file(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs, counts, decode(body[at:mid], body[mid : mid + size], total)
 
 
-def _token_blobs(path: str, end_id: int):
+def bucket_of(docs: np.ndarray, cuts: np.ndarray, first: int) -> np.ndarray:
+    """Bucket of each doc_id, in the order of doc_ids; one that several cuts are equal to has its rows dealt out to that many buckets in turn.
+
+    first: the number of the first row."""
+    left, right = np.searchsorted(cuts, docs, "left"), np.searchsorted(cuts, docs, "right")
+    return np.where(right > left, left + 1 + (first + np.arange(len(docs))) % np.maximum(right - left, 1), right).astype(np.int32)
+
+
+def _token_blobs(path: str, end_id: int, cuts: np.ndarray):
     def run(batches):
         words, pack = word_bpe(path), zstandard.ZstdCompressor(level=1).compress
+        rows = 0
         for batch in batches:
             blobs, n = [], []
             for ids in words.texts(batch.column("text")):
                 ids = np.append(ids, np.uint16(end_id)).astype("<u2")
                 blobs.append(pack(ids.tobytes()))
                 n.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "ids"])
+            doc = batch.column("doc_id").cast(pa.int64())
+            bucket = bucket_of(doc.to_numpy(), cuts, rows)
+            rows += len(bucket)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(blobs, pa.binary()), pa.array(bucket)], ["doc_id", "n", "ids", "bucket"])
 
     return run
 
@@ -154,9 +166,8 @@ def write_files(docs: DataFrame, path: str, end_id: int, folder: str, file_ids:
     ways = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes), 1)
     # bounds of ranges of doc_id, from that column alone
     cuts = docs.approxQuantile("doc_id", [i / ways for i in range(1, ways)], 0.1 / ways) if ways > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    bucket = F.coalesce(sum((F.col("doc_id") >= c).cast("int") for c in cuts) if cuts else F.lit(0), F.lit(0)).cast("int")
-    blobs = docs.mapInArrow(_token_blobs(path, end_id), "doc_id long, n long, ids binary").withColumn("bucket", bucket)
+    cuts = np.array(sorted(min(int(c), 2**63 - 1) for c in cuts), np.int64)
+    blobs = docs.mapInArrow(_token_blobs(path, end_id, cuts), "doc_id long, n long, ids binary, bucket int")
     blobs = materialise(blobs.repartition(ways, "bucket").sortWithinPartitions("bucket", "doc_id", "n", "ids"), "blobs", "none")
     hist = blobs.select("ids").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
     id_of = hist["id"].to_numpy(np.uint32)
