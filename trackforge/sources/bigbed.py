@@ -14,6 +14,7 @@ import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -22,6 +23,7 @@ from ..functions.text import hex_to_rgb, rgb_to_hex, strand_of
 from ..operators.coverage import coverage, zoom_reductions
 from ..operators.nest import fold_blocks
 from . import bigwig as W
+from . import parts
 
 # Fixed values of the format: its signature, and that of its trees of names.
 SIGNATURE, TREE = 0x8789F2EB, 0x78CA8C91
@@ -339,69 +341,79 @@ def _encode(numbers: dict[str, int], lengths: dict[str, int], slot: int, compres
     return run
 
 
-def _name_tree(f, names, n: int, key: int, block: int = 256) -> int:
-    """Writes a tree over n sorted (name, offset, size) at the end of f; returns its place. Leaves are written as they come."""
-    sizes = [max(n, 1)]
-    while sizes[0] > block:
-        sizes.insert(0, -(-sizes[0] // block))
-    tree, at = f.tell(), f.tell() + 32
-    starts = []  # where each level's nodes begin
-    for depth, items in enumerate(sizes):
-        starts.append(at)
-        at += -(-items // block) * (4 + block * (key + (16 if depth == len(sizes) - 1 else 8)))
-    f.write(struct.pack("<IIIIQQ", TREE, block, key, 16, n, 0))
-    level, held, k = [], [], 0
-    width = 4 + block * (key + 16)
-    for item in names:
-        held.append(item)
-        if len(held) == block:
-            level.append(held[0][0])
-            f.seek(starts[-1] + k * width)
-            f.write((struct.pack("<BBH", 1, 0, len(held)) + b"".join(struct.pack(f"<{key}sQQ", x.encode(), a, s) for x, a, s in held)).ljust(width, b"\0"))
-            held, k = [], k + 1
-    if held or not level:
-        level.append(held[0][0] if held else "")
-        f.seek(starts[-1] + k * width)
-        f.write((struct.pack("<BBH", 1, 0, len(held)) + b"".join(struct.pack(f"<{key}sQQ", x.encode(), a, s) for x, a, s in held)).ljust(width, b"\0"))
-    below, wide = level, width
-    for depth in range(len(sizes) - 2, -1, -1):
-        here, upper = 4 + block * (key + 8), []
-        for i in range(0, len(below), block):
-            part = below[i : i + block]
-            upper.append(part[0])
-            f.seek(starts[depth] + (i // block) * here)
-            f.write((struct.pack("<BBH", 0, 0, len(part)) + b"".join(struct.pack(f"<{key}sQ", x.encode(), starts[depth + 1] + (i + j) * wide) for j, x in enumerate(part))).ljust(here, b"\0"))
-        below, wide = upper, here
-    f.seek(0, 2)
+def _leaves(key: int, block: int):
+    """mapInArrow over sorted (x, at, size): the leaves of a tree of names, of at most block items, with the first name of each."""
+
+    def leaf(held):
+        body = struct.pack("<BBH", 1, 0, len(held)) + b"".join(struct.pack(f"<{key}sQQ", x.encode(), a, s) for x, a, s in held)
+        return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([body.ljust(4 + block * (key + 16), b"\0")], pa.binary())], ["first", "body"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for item in zip(*(batch.column(c).to_pylist() for c in ("x", "at", "size"))):
+                held.append(item)
+                if len(held) == block:
+                    yield leaf(held)
+                    held = []
+        if held:
+            yield leaf(held)
+
+    return run
+
+
+def _name_tree(f, names: DataFrame, block: int = 256) -> int:
+    """Writes a tree over names(x, at, size) at the end of f; returns its place. Tasks write the leaves, the driver keeps the first name of each."""
+    r = names.agg(F.count("*").alias("n"), F.max(F.octet_length("x")).alias("k")).first()
+    n, key = r["n"], max(r["k"] or 1, 1)
+    upper, lower = 4 + block * (key + 8), 4 + block * (key + 16)
+    with parts.stored(names.orderBy("x", "at"), _leaves(key, block), "first string", f.name) as (rows, files):
+        levels = [[x["first"] for x in rows] or [""]]  # the first name of each node, level by level
+        while len(levels[0]) > 1:
+            levels.insert(0, levels[0][::block])
+        tree, starts = f.tell(), [f.tell() + 32]
+        for level in levels[:-1]:
+            starts.append(starts[-1] + len(level) * upper)
+        f.write(struct.pack("<IIIIQQ", TREE, block, key, 16, n, 0))
+        for depth, below in enumerate(levels[1:]):
+            wide = lower if depth == len(levels) - 2 else upper
+            for i in range(0, len(below), block):
+                part = below[i : i + block]
+                f.write((struct.pack("<BBH", 0, 0, len(part)) + b"".join(struct.pack(f"<{key}sQ", x.encode(), starts[depth + 1] + (i + j) * wide) for j, x in enumerate(part))).ljust(upper, b"\0"))
+        if not rows:
+            f.write(struct.pack("<BBH", 1, 0, 0).ljust(lower, b"\0"))
+        parts.append(f, files)
     return tree
 
 
 def write(df: DataFrame, path: str, lengths: dict[str, int], slot: int = 512, compress: bool = True, indexes: tuple[str, ...] = (), zooms: list[int] | None = None) -> None:
     """Writes df(seqnames, start, end, and strand, name, score, thick, itemRgb, blocks or further columns) as one file.
 
-    Tasks sort, check and compress; the driver appends blocks one at a time. Zoom levels and the summary are of the depth
-    of coverage. indexes: fields of text that features can be looked up by.
+    Tasks sort, check and compress; the driver joins their parts. Zoom levels and the summary are of the depth of
+    coverage, which is computed once and kept on disk meanwhile. indexes: fields of text that features can be looked up by.
     """
     if missing := df.select("seqnames").distinct().where(~F.col("seqnames").isin(list(lengths))).limit(1).collect():
         raise ValueError(f"unknown sequence: {missing[0][0]}")
     numbers = {n: i for i, n in enumerate(sorted(lengths, key=str.encode))}
     d, spark = description_of(df), df.sparkSession
     places = [[f.name for f in d.fields].index(x) for x in indexes]
-    blocks = text_rows(df).orderBy("seqnames", "start", "end").mapInArrow(_encode(numbers, lengths, slot, compress), W.BLOCKS)
-    depth = coverage(df.where(F.col("end") >= F.col("start")))
+    rows = text_rows(df).orderBy("seqnames", "start", "end")
+    depth = coverage(df.where(F.col("end") >= F.col("start"))).persist(StorageLevel.DISK_ONLY)
     w = F.col("end") - F.col("start") + 1
-    r = depth.agg(F.sum(w).alias("valid"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum(w * F.col("value")).alias("s"), F.sum(w * F.col("value") * F.col("value")).alias("q"), F.count("*").alias("n"), F.avg(w).alias("mean")).first()
-    summary = [int(r["valid"] or 0), *(float(r[k] or 0) for k in ("lo", "hi", "s", "q"))]
-    if zooms is None:
-        zooms = zoom_reductions(r["mean"], r["n"]) if r["n"] else []
-
-    W.assemble(path, SIGNATURE, blocks, lengths, slot, W.zoom_levels(depth, zooms), (len(d.fields), min(_level(df), 12), rendered(d).encode()), summary, compress)
+    try:
+        r = depth.agg(F.sum(w).alias("valid"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum(w * F.col("value")).alias("s"), F.sum(w * F.col("value") * F.col("value")).alias("q"), F.count("*").alias("n"), F.avg(w).alias("mean")).first()
+        summary = [int(r["valid"] or 0), *(float(r[k] or 0) for k in ("lo", "hi", "s", "q"))]
+        if zooms is None:
+            zooms = zoom_reductions(r["mean"], r["n"]) if r["n"] else []
+        W.assemble(path, SIGNATURE, rows, _encode(numbers, lengths, slot, compress), lengths, slot, W.zoom_levels(depth, zooms), (len(d.fields), min(_level(df), 12), rendered(d).encode()), summary, compress)
+    finally:
+        depth.unpersist()
     if places:
         _add_indexes(spark, path, places)
 
 
 def _add_indexes(spark: SparkSession, path: str, places: list[int]) -> None:
-    """Adds trees of names to a whole file: names sorted by Spark come to the driver one at a time."""
+    """Adds trees of names to a whole file: names are sorted by Spark, and tasks write the leaves."""
     with BigBed(path) as b:
         blocks, order, packed = b.blocks(None), b.order, b.inflated > 0
         name_of = {n: x for x, (n, _) in b.names.items()}
@@ -410,10 +422,11 @@ def _add_indexes(spark: SparkSession, path: str, places: list[int]) -> None:
         trees = []
         for number in places:
             x = F.get(F.split("rest", "\t"), F.lit(number - 3))
-            names = _raw(spark, path, blocks, None, order, packed, name_of).select(x.alias("x"), "at", "size").distinct()
-            r = names.agg(F.count("*").alias("n"), F.max(F.octet_length("x")).alias("k")).first()
-            rows = ((r_["x"], r_["at"], r_["size"]) for r_ in names.orderBy("x", "at").toLocalIterator())
-            trees.append((number, _name_tree(f, rows, r["n"], max(r["k"] or 1, 1))))
+            names = _raw(spark, path, blocks, None, order, packed, name_of).select(x.alias("x"), "at", "size").distinct().persist(StorageLevel.DISK_ONLY)
+            try:
+                trees.append((number, _name_tree(f, names)))
+            finally:
+                names.unpersist()
         listed = f.tell()
         for number, at in trees:
             f.write(struct.pack("<HHQIHH", 0, 1, at, 0, number, 0))

@@ -14,10 +14,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coverage import zoom, zoom_again, zoom_reductions
+from . import parts
 
 # Fixed values of the format: signatures of a file, its tree of names and its index; kinds of data blocks.
 SIGNATURE, NAMES, INDEX = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
@@ -292,21 +294,23 @@ def _zoom_blocks(numbers: dict[str, int], lengths: dict[str, int], reduction: in
     return run
 
 
-def append_blocks(f, blocks: DataFrame, numbers: dict[str, int]):
-    """Writes blocks one at a time; their index entries, the largest one's size inflated, and their sums."""
-    leaves, largest, stats = [], 0, [0, np.inf, -np.inf, 0.0, 0.0]
-    for b in blocks.toLocalIterator():
-        leaves.append((numbers[b["seqnames"]], b["first"], numbers[b["seqnames"]], b["last"], f.tell(), len(b["body"])))
-        f.write(b["body"])
+def append_blocks(f, rows: DataFrame, encode, numbers: dict[str, int]):
+    """Writes the blocks that encode makes of rows; their index entries, the largest one's size inflated, and their sums."""
+    leaves, largest, stats, at = [], 0, [0, np.inf, -np.inf, 0.0, 0.0], f.tell()
+    with parts.stored(rows, encode, BLOCKS.replace(" body binary,", ""), f.name) as (blocks, files):
+        parts.append(f, files)
+    for b in blocks:
+        leaves.append((numbers[b["seqnames"]], b["first"], numbers[b["seqnames"]], b["last"], at, b["n"]))
+        at += b["n"]
         largest = max(largest, b["size"])
         stats = [stats[0] + b["bases"], min(stats[1], b["low"]), max(stats[2], b["high"]), stats[3] + b["total"], stats[4] + b["squares"]]
     return leaves, largest, stats if leaves else [0, 0.0, 0.0, 0.0, 0.0]
 
 
-def assemble(path: str, signature: int, blocks: DataFrame, lengths: dict[str, int], slot: int, zooms: list[tuple[int, DataFrame]], fields: tuple[int, int, bytes] = (0, 0, b""), summary: list | None = None, compress: bool = True) -> None:
+def assemble(path: str, signature: int, rows: DataFrame, encode, lengths: dict[str, int], slot: int, zooms: list[tuple[int, DataFrame]], fields: tuple[int, int, bytes] = (0, 0, b""), summary: list | None = None, compress: bool = True) -> None:
     """Writes a file: header, zoom directory, summary, description, names, blocks, index, zoom levels.
 
-    zooms: reduction and windows(seqnames, win, ...) of each level. fields: number of fields, of standard ones among them,
+    encode makes blocks of the sorted rows. zooms: reduction and windows(seqnames, win, ...) of each level. fields: number of fields, of standard ones among them,
     description. compress: whether blocks are.
     """
     numbers = {n: i for i, n in enumerate(sorted(lengths, key=str.encode))}
@@ -319,7 +323,7 @@ def assemble(path: str, signature: int, blocks: DataFrame, lengths: dict[str, in
     data = at_text + len(text) + len(names)
     with open(path.removeprefix("file://"), "w+b") as f:
         f.write(bytes(data + 8))
-        leaves, largest, stats = append_blocks(f, blocks, numbers)
+        leaves, largest, stats = append_blocks(f, rows, encode, numbers)
         for a, b in zip(leaves, leaves[1:]):
             if signature == SIGNATURE and a[0] == b[0] and b[1] < a[3]:
                 raise ValueError("features overlap")
@@ -327,10 +331,9 @@ def assemble(path: str, signature: int, blocks: DataFrame, lengths: dict[str, in
         f.write(_index(leaves, index, slot))
         places = []
         for reduction, windows in zooms:
-            rows = windows.orderBy("seqnames", "win").mapInArrow(_zoom_blocks(numbers, lengths, reduction, 512, compress), BLOCKS)
             at = f.tell()
             f.write(bytes(4))
-            some, large, _ = append_blocks(f, rows, numbers)
+            some, large, _ = append_blocks(f, windows.orderBy("seqnames", "win"), _zoom_blocks(numbers, lengths, reduction, 512, compress), numbers)
             largest = max(largest, large)
             there = f.tell()
             f.write(_index(some, there, 512))
@@ -344,17 +347,20 @@ def assemble(path: str, signature: int, blocks: DataFrame, lengths: dict[str, in
 def write(df: DataFrame, path: str, lengths: dict[str, int], slot: int = 1024, zooms: list[int] | None = None) -> None:
     """Writes df(seqnames, start, end, score) as one file; lengths of all sequences are needed.
 
-    Tasks sort, check and compress; the driver appends their blocks one at a time and keeps an index entry of each.
+    Tasks sort, check and compress; the driver joins their parts and keeps an index entry of each block. The features
+    are computed once and kept on disk meanwhile.
     zooms: reductions of the zoom levels; if None they follow from the mean width of the features. Errors: overlaps,
     features outside a sequence, scores that are null or not finite, unknown sequences.
     """
     numbers = {n: i for i, n in enumerate(sorted(lengths, key=str.encode))}
-    rows = df.select(F.col("seqnames"), F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double"))
-    if zooms is None:
-        r = rows.agg(F.count("*").alias("n"), F.avg(F.col("end") - F.col("start") + 1).alias("w")).first()
-        zooms = zoom_reductions(r["w"], r["n"]) if r["n"] else []
-    blocks = rows.orderBy("seqnames", "start").mapInArrow(_encode(numbers, lengths, slot), BLOCKS)
-    assemble(path, SIGNATURE, blocks, lengths, slot, zoom_levels(rows.withColumnRenamed("score", "value"), zooms))
+    rows = df.select(F.col("seqnames"), F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double")).persist(StorageLevel.DISK_ONLY)
+    try:
+        if zooms is None:
+            r = rows.agg(F.count("*").alias("n"), F.avg(F.col("end") - F.col("start") + 1).alias("w")).first()
+            zooms = zoom_reductions(r["w"], r["n"]) if r["n"] else []
+        assemble(path, SIGNATURE, rows.orderBy("seqnames", "start"), _encode(numbers, lengths, slot), lengths, slot, zoom_levels(rows.withColumnRenamed("score", "value"), zooms))
+    finally:
+        rows.unpersist()
 
 
 def zoom_levels(signal: DataFrame, reductions: list[int]) -> list[tuple[int, DataFrame]]:
