@@ -48,3 +48,69 @@ def test_counts_without_pairs(spark, monkeypatch):
 def test_buckets_fit(spark):
     f, r = catalog.features(spark, SF), catalog.ranges(spark, SF)
     assert overlap.fitted_width(f, r) == 128
+
+
+@pytest.fixture
+def few(spark):
+    return spark.createDataFrame([("c", i % 900 + 1, i % 900 + 3, "+", f"n{i % 700}", i) for i in range(1500)], "seqnames string, start int, end int, strand string, name string, score int")
+
+
+def test_indexed_files_without_the_driver(spark, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(type(few), "toLocalIterator", forbidden)
+    path = str(tmp_path / "x.bb")
+    bigbed.write(few, path, {"c": 1000}, slot=16, indexes=("name",), zooms=[10])
+    assert sorted(r["score"] for r in bigbed.by_name(spark, path, "n5").collect()) == [5, 705, 1405] and bigbed.scan(spark, path).count() == 1500
+    with bigbed.BigBed(path) as b:
+        assert all(b.places_of(f"n{i}", b.indexes()[0][1]) for i in range(700)) and not b.places_of("n700", b.indexes()[0][1])
+    path = str(tmp_path / "x.bed.gz")
+    tabix.write(L.bed_lines(few), path, kind=0x10000)
+    assert tabix.scan(spark, path, [("c", 1, 3)]).count() == 2 * 3 and len(os.listdir(tmp_path)) == 3
+
+
+def test_alignments_without_the_driver(spark, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(type(few), "toLocalIterator", forbidden)
+    path = str(tmp_path / "x.bam")
+    bam.write(L.sam_lines(few.select("seqnames", "start", "end", "strand", F.col("name").alias("qname"), F.lit("3M").alias("cigar"))), path, [("c", 1000)])
+    monkeypatch.setattr(bam, "MOST_TASKS", 1)
+    assert bam.scan(spark, path, 1).rdd.getNumPartitions() <= 2 and bam.scan(spark, path, 1).count() == 1500
+
+
+def test_signal_is_computed_once(spark, monkeypatch, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kind = "seqnames string, start int, end int, score double"
+    signal = spark.createDataFrame([("c", 2 * i + 1, 2 * i + 1, 1.0) for i in range(100)], kind).mapInArrow(noted, kind)
+    monkeypatch.setattr(type(signal), "toLocalIterator", forbidden)
+    bigwig.write(signal, str(tmp_path / "x.bw"), {"c": 1000}, zooms=[10, 20])
+    assert seen.value == 100 and bigwig.scan(spark, str(tmp_path / "x.bw")).count() == 100
+
+
+def test_pairs_of_one_name(spark):
+    kind = "qname string, flag int, seqnames string, start int, end int, strand string, cigar string, mapq int, mrnm string, mpos int"
+    row = lambda name, flag, at, to: (name, flag, "c", at, at + 4, "+", "5M", 9, "c", to)
+    x = spark.createDataFrame([row("a", 65, 10, 90), row("a", 129, 90, 10), row("a", 65, 20, 70), row("a", 129, 70, 20), row("a", 65, 20, 70), row("a", 129, 70, 20), row("b", 65, 1, 2), row("b", 129, 7, 8), row("d", 65, 1, 2)], kind)
+    got = sorted((r["name"], r["first"]["start"], r["second"]["start"]) for r in bam.pairs(x).collect())
+    assert got == [("a", 10, 90), ("a", 20, 70), ("a", 20, 70), ("b", 1, 7)]
+
+
+def test_documents_in_many_tasks(spark, tmp_path, few):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        gff.write(spark, gff.document(few, 3), str(tmp_path / "many"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(f for f in os.listdir(tmp_path / "many") if f.startswith("part-"))
+    assert len(names) > 3 and (tmp_path / "many" / names[0]).read_text().startswith("##gff-version 3\n")
+    rows = spark.createDataFrame([(2, "y"), (0, "b"), (0, "a"), *((1, f"{i}") for i in range(500)), (2, "x")], "part int, value string")
+    parts.write_text(rows, str(tmp_path / "one"), "part")
+    assert (tmp_path / "one").read_text().splitlines() == ["b", "a", *map(str, range(500)), "y", "x"]
+
+
+def test_tags_with_commas(spark):
+    x = spark.createDataFrame([(f"c\t.\tx\t1\t2\t.\t.\t.\t{a}", "f", i) for i, a in enumerate(("A=1,2; B=x;A=3", "B=y;AB=1,2"))], "value string, file string, ord int")
+    assert gff._with_commas(x, ["A", "B", "C"]) == [("A", True), ("B", False), ("C", False)]
