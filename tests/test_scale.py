@@ -114,3 +114,27 @@ def test_documents_in_many_tasks(spark, tmp_path, few):
 def test_tags_with_commas(spark):
     x = spark.createDataFrame([(f"c\t.\tx\t1\t2\t.\t.\t.\t{a}", "f", i) for i, a in enumerate(("A=1,2; B=x;A=3", "B=y;AB=1,2"))], "value string, file string, ord int")
     assert gff._with_commas(x, ["A", "B", "C"]) == [("A", True), ("B", False), ("C", False)]
+
+
+def clashing(spark, folder: str) -> str:
+    """sf0.001 with further lines whose numbers of order and part give keys that are there."""
+    x = spark.read.parquet(f"{SF}/lineitem.parquet")
+    more = x.where("l_orderkey % 7 = 0").withColumns({"l_orderkey": F.col("l_orderkey") - 1, "l_partkey": F.col("l_partkey") + 100_000, "l_suppkey": F.col("l_suppkey") + 1})
+    x.unionByName(more).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    for t in ("supplier", "part"):
+        spark.read.parquet(f"{SF}/{t}.parquet").coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["bam_pairs", "liftover_empty_groups", "liftover_order", "liftover_pairs", "liftover_unmapped"])
+def test_shared_keys(spark, tmp_path, name):
+    import duckdb
+
+    d = clashing(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "part"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    got = catalog.QUERIES[name](spark, d)
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    want = con.sql(f"select {columns} from ({catalog.SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
