@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackforge.operators import nest, overlap, summary
+from trackforge.operators import lift, lift_tiles, nest, overlap, summary
 from trackforge.plans import catalog, files  # noqa: F401
 from trackforge.sources import bam, bigbed, bigwig, gff, parts, tabix
 from trackforge.sources import lines as L
@@ -50,6 +50,35 @@ def test_buckets_fit(spark):
     assert overlap.fitted_width(f, r) == 128
 
 
+def test_lifted_rows_come_by_target(spark, tmp_path):
+    features = spark.range(20_000).select(F.lit("c").alias("seqnames"), (F.col("id") * 7919 % 5000).cast("int").alias("start"), (F.col("id") * 7919 % 5000 + F.col("id") % 4).cast("int").alias("end"), F.lit("+").alias("strand"))
+    chain = spark.range(60).select(F.lit("c").alias("from_name"), F.lit(0).alias("from_start"), F.lit(6000).alias("width"), (F.col("id") % 6).cast("int").alias("offset"), F.lit("t").alias("to_name"), F.lit(False).alias("reversed"))
+    lift._by_pairs(features, chain, small=True).write.parquet(f"{tmp_path}/pairs")
+    lift.lift_over(features, chain, small=False).write.parquet(f"{tmp_path}/sorted")
+    a, b = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("pairs", "sorted"))
+    assert b.count() == 20_000 * 60 and not a.exceptAll(b).head(1)
+    size = lambda x: sum(f.stat().st_size for f in (tmp_path / x).glob("*.parquet"))
+    assert size("sorted") * 3 < size("pairs")
+
+
+@pytest.mark.parametrize("tile, most, rows", [(4096, lift_tiles.MOST, lift_tiles.ROWS), (256, 7, 5), (64, 1, 1)])
+def test_lifted_rows_of_odd_tables(spark, tile, most, rows):
+    import random
+
+    r = random.Random(tile)
+    features, blocks = [], []
+    for _ in range(200):
+        a, w = r.randint(-200, 3000), r.choice((0, 1, 5, 50, 400, -3, -1))
+        features.append((r.choice(("a", "b", "c", None)), a, r.choice((a + w, a + w, None)), r.choice(("+", "-", "*", None, "+-"))))
+    for _ in range(60):
+        blocks.append((r.choice(("a", "b", None)), r.randint(-200, 3000), r.choice((0, -1, -4, 1, 30, 300, 2000, None)), r.choice((-50, 3, 7, None)), r.choice(("t", "u", None)), r.choice((True, False, None))))
+    f = spark.createDataFrame(features + features[:30], "seqnames string, start int, end int, strand string")
+    c = spark.createDataFrame(blocks + blocks[:9], "from_name string, from_start int, width int, offset int, to_name string, reversed boolean")
+    want = lift._by_pairs(f, c, small=True)
+    got = lift_tiles.lift_sorted(f, c, want.schema, tile, most, rows)
+    assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+
+
 @pytest.fixture
 def few(spark):
     return spark.createDataFrame([("c", i % 900 + 1, i % 900 + 3, "+", f"n{i % 700}", i) for i in range(1500)], "seqnames string, start int, end int, strand string, name string, score int")
