@@ -29,6 +29,12 @@ def test_summaries_without_pairs(spark, monkeypatch):
     assert got == want and got[3, 0] == (None,) * 5 and got[2, 1][2] == 7 - 2
 
 
+@pytest.mark.parametrize("kind", summary.TYPES)
+def test_summary_queries_make_no_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(summary, "overlap_join", forbidden)
+    assert catalog.QUERIES[f"summary_{kind}"](spark, SF).count() == 5 * catalog.ranges(spark, SF).count()
+
+
 def test_dense_without_pairs(spark, monkeypatch):
     signal = spark.createDataFrame([("c", 16_383, 16_386, 3), ("c", 16_384, 16_384, 4)], "seqnames string, start int, end int, value int")
     queries = spark.createDataFrame([("q", "c", 16_382, 16_387), ("r", "d", 1, 1)], "query string, seqnames string, start int, end int")
