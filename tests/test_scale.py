@@ -60,7 +60,7 @@ def test_lifted_rows_come_by_target(spark, tmp_path):
     features = spark.range(20_000).select(F.lit("c").alias("seqnames"), (F.col("id") * 7919 % 5000).cast("int").alias("start"), (F.col("id") * 7919 % 5000 + F.col("id") % 4).cast("int").alias("end"), F.lit("+").alias("strand"))
     chain = spark.range(60).select(F.lit("c").alias("from_name"), F.lit(0).alias("from_start"), F.lit(6000).alias("width"), (F.col("id") % 6).cast("int").alias("offset"), F.lit("t").alias("to_name"), F.lit(False).alias("reversed"))
     lift._by_pairs(features, chain, small=True).write.parquet(f"{tmp_path}/pairs")
-    lift.lift_over(features, chain, small=False).write.parquet(f"{tmp_path}/sorted")
+    lift.lift_over(features, chain, small=False, by_target=True).write.parquet(f"{tmp_path}/sorted")
     a, b = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("pairs", "sorted"))
     assert b.count() == 20_000 * 60 and not a.exceptAll(b).head(1)
     size = lambda x: sum(f.stat().st_size for f in (tmp_path / x).glob("*.parquet"))
